@@ -1,10 +1,6 @@
 """All registered queries and the DuckDB SQL that defines each of them."""
 
-from __future__ import annotations
+from . import graph_queries, match_queries, text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
