@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import WORD, lower, mix, pieces, prefix_hash, row_of, runs, span_hash
+from .buffers import WORD, lower, mix, pieces, prefix_hash, runs, span_hash
+from .scratch import written
 
 #: Kinds of identity terms; a counterfactual replaces a term by the others of its list.
 IDENTITY = (
@@ -94,47 +95,49 @@ def counterfactuals(texts: list[str], identity: tuple[tuple[str, ...], ...] = ID
     return before, after
 
 
-def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature) pairs."""
-    rows, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lo, _, r, i in feature_ids(pa.array(texts, pa.large_string())):
-        key = np.unique((r << BITS) | i)
-        rows.append((key >> BITS) + lo)
-        ids.append(key & ((1 << BITS) - 1))
-    return np.concatenate(rows), np.concatenate(ids)
+def _distinct(column: pa.Array) -> list[np.ndarray]:
+    """The distinct features of each text, ascending."""
+    out = []
+    for lo, hi, rows, ids in feature_ids(column):
+        key = np.unique((rows << BITS) | ids)
+        ends = np.searchsorted(key, np.arange(1, hi - lo + 1) << BITS)
+        out += np.split((key & ((1 << BITS) - 1)).astype(np.int32), ends[:-1])
+    return out
 
 
-def fit(texts: list[str], y: np.ndarray, pairs_weight: float = 1.0, l1: float = 2e-4, features: int = 4096, min_rows: int = 3, steps: int = 300, identity: tuple[tuple[str, ...], ...] = IDENTITY) -> ToxicityModel:
-    """Fit by accelerated proximal gradient steps on loss + ``pairs_weight`` * mean squared change of score over counterfactuals + L1.
+def _swaps(texts: list[str], identity: tuple[tuple[str, ...], ...]) -> list[list[np.ndarray]]:
+    """For each counterfactual of each text, the features it loses (as -1 - feature) and gains."""
+    out: list[list[np.ndarray]] = []
+    for text in texts:
+        found = counterfactuals([text], identity)
+        pair = [_distinct(pa.array(t, pa.large_string())) for t in found] if found[0] else []
+        if not pair:
+            out.append([])
+            continue
+        out.append([np.concatenate([-1 - np.setdiff1d(x, y), np.setdiff1d(y, x)]) for x, y in zip(*pair)])
+    return out
+
+
+def gain(inside: np.ndarray, outside: np.ndarray, positive: float, negative: float) -> np.ndarray:
+    """How much a feature tells, from the numbers of toxic and other rows that have it; what speaks against toxicity counts a quarter."""
+    a, b = inside + 0.5, outside + 0.5
+    p, q = a / (positive + 1), b / (negative + 1)
+    up = a * np.log(p / q) + (positive + 1 - a) * np.log((1 - p).clip(1e-9) / (1 - q).clip(1e-9))
+    return np.where(p > q, up, b * np.log(q / p) * 0.25)
 
-    Without labels of both classes the model is the smoothed prior, and nothing is toxic.
+
+def optimise(y: np.ndarray, rows: list[np.ndarray], swaps: list[np.ndarray], chosen: np.ndarray, pairs_weight: float = 1.0, l1: float = 2e-4, steps: int = 300) -> ToxicityModel:
+    """Accelerated proximal gradient steps on loss + ``pairs_weight`` * mean squared change of score over counterfactuals + L1.
+
+    ``rows`` are the features of each labelled text, as places in ``chosen``; ``swaps``
+    those that each counterfactual gains, and -1 less those it loses.
     """
-    y = np.asarray(y, float)
-    n, positive = len(y), float(y.sum())
-    if not positive or positive == n:
-        p = (positive + 1) / (n + 2)
-        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p))), 1.1)
-    rows, ids = _matrix(texts)
-    inside, outside = np.bincount(ids[y[rows] > 0], minlength=1 << BITS), np.bincount(ids[y[rows] == 0], minlength=1 << BITS)
-    seen = np.flatnonzero(inside + outside >= min_rows)
-    a, b = inside[seen] + 0.5, outside[seen] + 0.5
-    rate_in, rate_out = a / (positive + 1), b / (n - positive + 1)
-    gain = a * np.log(rate_in / rate_out) + (positive + 1 - a) * np.log((1 - rate_in).clip(1e-9) / (1 - rate_out).clip(1e-9))
-    gain = np.where(rate_in > rate_out, gain, b * np.log(rate_out / rate_in) * 0.25)
-    chosen = np.sort(seen[np.lexsort((seen, -gain))[:features]])
-    index = np.full(1 << BITS, -1, np.int64)
-    index[chosen] = np.arange(len(chosen))
-    k = len(chosen)
-
-    def local(r: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keep = index[i] >= 0
-        return r[keep], index[i[keep]]
-
-    r, c = local(rows, ids)
-    before, after = counterfactuals(texts, identity)
-    m = len(before)
-    (br, bc), (ar, ac) = (local(*_matrix(t)) for t in (before, after))
-    dr, dc, dv = np.concatenate([br, ar]), np.concatenate([bc, ac]), np.concatenate([np.full(len(br), -1.0), np.full(len(ar), 1.0)])
+    n, k, m, positive = len(y), len(chosen), len(swaps), float(y.sum())
+    flat = lambda parts: (np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts]), np.concatenate([np.zeros(0, np.int32), *parts]))
+    r, c = flat(rows)
+    dr, dc = flat(swaps)
+    dv = np.where(dc < 0, -1.0, 1.0)
+    dc = np.where(dc < 0, -1 - dc, dc)
     weight = np.where(y > 0, 0.5 / positive, 0.5 / (n - positive))
     w, z, t, bias = np.zeros(k), np.zeros(k), 1.0, 0.0
     step = 4.0 / max(1.0, float(np.bincount(c, weight[r], k).max()) * 8 if len(c) else 1.0)
@@ -164,20 +167,78 @@ def fit(texts: list[str], y: np.ndarray, pairs_weight: float = 1.0, l1: float =
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 6_000, **params) -> ToxicityModel:
+def _prior(n: int, positive: int) -> ToxicityModel:
+    """Without labels of both classes: the smoothed share of toxic labels, and nothing is toxic."""
+    p = (positive + 1) / (n + 2)
+    return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p))), 1.1)
+
+
+def _local(features: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Signed features as signed places in ``chosen``; others are left out."""
+    lost = features < 0
+    ids = np.where(lost, -1 - features, features)
+    at = np.minimum(np.searchsorted(chosen, ids), max(0, len(chosen) - 1))
+    ok = chosen[at] == ids if len(chosen) else np.zeros(len(ids), bool)
+    return np.where(lost, -1 - at, at)[ok].astype(np.int32)
+
+
+def fit(texts: list[str], y: np.ndarray, features: int = 4096, min_rows: int = 3, identity: tuple[tuple[str, ...], ...] = IDENTITY, **params) -> ToxicityModel:
+    """Fit on texts in memory, by the same steps as ``train``."""
+    y = np.asarray(y, float)
+    positive = float(y.sum())
+    if not positive or positive == len(y):
+        return _prior(len(y), int(positive))
+    rows = _distinct(pa.array(texts, pa.large_string()))
+    ids, where = np.concatenate([np.zeros(0, np.int32), *rows]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    inside, outside = np.bincount(ids[y[where] > 0], minlength=1 << BITS), np.bincount(ids[y[where] == 0], minlength=1 << BITS)
+    seen = np.flatnonzero(inside + outside >= min_rows)
+    chosen = np.sort(seen[np.lexsort((seen, -gain(inside[seen], outside[seen], positive, len(y) - positive)))[:features]])
+    swaps = [s for t in _swaps(texts, identity) for s in t]
+    return optimise(y, [_local(r, chosen) for r in rows], [_local(s, chosen) for s in swaps], chosen, **params)
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 6_000, features: int = 4096, min_rows: int = 3, identity: tuple[tuple[str, ...], ...] = IDENTITY, **params) -> ToxicityModel:
     """Fit on at most ``max_rows`` labelled documents of each class (the first by a hash of the id).
 
     The sampled ids are few and bounded, so they are broadcast to the one scan that
-    fetches their texts. Null labels, ids and texts are left out; a repeated id counts
-    once in the sample, with its highest label, and with each of its texts.
+    fetches their texts; features are made and counted where the texts are, and only the
+    chosen ones reach the driver. Null labels, ids and texts are left out; a repeated id
+    counts once in the sample, with its highest label, and with each of its texts.
     """
     y = labels.where(labels[label_col].isNotNull() & labels["doc_id"].isNotNull()).groupBy(labels["doc_id"].cast("long").alias("_id")).agg(F.max((labels[label_col] > 0).cast("int")).alias("_y"))
     parts = [y.where(F.col("_y") == k).orderBy(F.xxhash64("_id"), "_id").limit(max_rows) for k in (0, 1)]
     texts = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("_text")).where("_text is not null")
-    rows = texts.join(F.broadcast(parts[0].union(parts[1])), "_id").select("_id", "_text", "_y").toArrow()
-    order = np.argsort(rows["_id"].to_numpy(), kind="stable") if len(rows) else []
-    rows = rows.take(order) if len(rows) else rows
-    return fit(rows["_text"].to_pylist(), rows["_y"].to_numpy(), **params)
+    sample = texts.join(F.broadcast(parts[0].union(parts[1])), "_id").select("_id", "_y", "_text")
+    kind = "id long, y int, features array<int>, swaps array<array<int>>"
+    lists = pa.list_(pa.int32())
+
+    def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_distinct(batch.column(2)), lists), pa.array(_swaps(batch.column(2).to_pylist(), identity), pa.list_(lists))], names=["id", "y", "features", "swaps"])
+
+    sample = written(sample.mapInArrow(extract, kind), "toxicity-sample")
+    size = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(size) < 2:
+        return _prior(sum(size.values()), size.get(1, 0))
+    counts = sample.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") + F.col("b") >= min_rows)
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy().astype(float) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(gain(a, b, size[1], size[0]), 9))], names=["f", "gain"])
+
+    best = counts.mapInArrow(weigh, "f int, gain double").orderBy(F.desc("gain"), "f").limit(features)
+    chosen = np.sort(np.array([r.f for r in best.collect()], np.int64))
+
+    def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_local(np.asarray(f, np.int64), chosen) for f in batch.column(2).to_pylist()]
+            swaps = [[_local(np.asarray(s, np.int64), chosen) for s in t] for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, lists), pa.array(swaps, pa.list_(lists))], names=["id", "y", "features", "swaps"])
+
+    rows = sorted(sample.mapInArrow(local, kind).toArrow().to_pylist(), key=lambda r: (r["id"], r["y"], r["features"]))
+    swaps = [np.array(s, np.int32) for r in rows for s in r["swaps"]]
+    return optimise(np.array([r["y"] for r in rows], float), [np.array(r["features"], np.int32) for r in rows], swaps, chosen, **params)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
