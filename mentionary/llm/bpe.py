@@ -112,7 +112,7 @@ class Tables:
 class Encoder:
     """Encodes pieces of bytes; remembers those it has seen, up to ``remember``, then starts anew."""
 
-    def __init__(self, tables: Tables, pattern: str = PATTERN, remember: int = 400_000):
+    def __init__(self, tables: Tables, pattern: str = PATTERN, remember: int = 250_000):
         self.find = regex.compile(pattern).findall
         self.remember, self.n = remember, len(tables.left)
         self.left, self.right = tables.left, tables.right
@@ -229,7 +229,7 @@ class Encoder:
         """Flat ids and offsets of a column of texts; null and empty texts have none."""
         flats, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
         texts = column.to_pylist()
-        for lo, hi, _, _ in pieces(column, 1 << 21):
+        for lo, hi, _, _ in pieces(column):
             if len(self.ids) > self.remember:
                 self._forget()
             words, n = [], np.zeros(hi - lo, np.int64)
