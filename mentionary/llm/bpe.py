@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .buffers import Lookup, mix, pieces, ragged, view
+from .scratch import text_pass
 
 #: How text is cut before BPE, as published with the byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -128,7 +129,11 @@ class Encoder:
     def _automaton(self, t: Tables) -> None:
         """Transitions, and for each state the longest token that ends there and the state of the next shorter one."""
         n = len(t.parent)
-        self.goto = np.zeros((n, 256), np.int32)
+        inner = np.zeros(n, bool)
+        inner[t.parent] = True
+        self.row = np.zeros(n, np.int32)  # states without edges share the row of their longest suffix that has some
+        self.row[inner] = np.arange(int(inner.sum()))
+        self.goto = np.zeros((int(inner.sum()), 256), np.int32)
         fail = np.zeros(n, np.int64)
         order = np.argsort(t.depth, kind="stable")
         bounds = np.searchsorted(t.depth[order], np.arange(int(t.depth.max()) + 2))
@@ -136,13 +141,15 @@ class Encoder:
         for d in range(len(bounds) - 1):  # a state's suffixes are shallower, so their rows are whole when it copies them
             level = order[bounds[d] : bounds[d + 1]]
             if d > 1:
-                fail[level] = self.goto[fail[t.parent[level]], t.edge[level]]
+                fail[level] = self.goto[self.row[fail[t.parent[level]]], t.edge[level]]
             if d:
-                self.goto[level] = self.goto[fail[level]]
+                leaves, own = level[~inner[level]], level[inner[level]]
+                self.row[leaves] = self.row[fail[leaves]]
+                self.goto[self.row[own]] = self.goto[self.row[fail[own]]]
                 ends[level] = np.where(t.token[level] >= 0, level, ends[fail[level]])
             if d + 2 < len(bounds):
                 below = order[bounds[d + 1] : bounds[d + 2]]
-                self.goto[t.parent[below], t.edge[below]] = below
+                self.goto[self.row[t.parent[below]], t.edge[below]] = below
         self.token, self.ends, self.shorter = t.token, ends, ends[fail]
 
     def _forget(self) -> None:
@@ -190,7 +197,7 @@ class Encoder:
         for i in range(int(sizes[0]) if len(sizes) else 0):
             n = int(np.searchsorted(-sizes, -i, side="left"))
             at = starts[:n] + i
-            state[:n] = self.goto[state[:n], buf[at]]
+            state[:n] = self.goto[self.row[state[:n]], buf[at]]
             node, todo = self.ends[state[:n]], np.arange(n)
             while len(todo):
                 token = self.token[node]
@@ -300,7 +307,7 @@ def encode_texts(docs: DataFrame, vocabulary: str | Vocabulary, pattern: str = P
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "n_tokens", "exact"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return text_pass(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, SCHEMA)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str | Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -317,4 +324,4 @@ def decode_ids(encoded: DataFrame, vocabulary: str | Vocabulary, id_col: str = "
             texts = [None if null else back[a:b].tobytes().decode("utf-8", "replace") for null, a, b in zip(np.asarray(column.is_null()), ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(encoded[id_col].cast("long").alias("doc_id"), encoded[ids_col].cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return text_pass(encoded.select(encoded[id_col].cast("long").alias("doc_id"), encoded[ids_col].cast("array<int>").alias("ids")), run, "doc_id long, text string")

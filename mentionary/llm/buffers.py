@@ -7,7 +7,7 @@ Null texts are seen as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +40,21 @@ def view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), off
 
 
-def pieces(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yield (first row, end row, bytes, offsets from 0) of about ``limit`` bytes; a longer row comes alone."""
+def pieces(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK, prepare: Callable[[pa.Array], pa.Array] | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Yield (first row, end row, bytes, offsets from 0) of about ``limit`` bytes; a longer row comes alone.
+
+    ``prepare`` is applied to each piece of the column, so that it copies a piece at a time.
+    """
     buf, off = view(column)
     rows, lo = len(off) - 1, 0
     while lo < rows:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
         hi = min(hi, rows)
-        yield lo, hi, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+        if prepare:
+            own, ends = view(prepare(column.slice(lo, hi - lo)))
+            yield lo, hi, own[ends[0] : ends[-1]], ends - ends[0]
+        else:
+            yield lo, hi, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import Lookup, pieces
-from .scratch import written
+from .scratch import text_pass, written
 
 DEPTH = 3
 #: Grams that one pass over the texts may have broadcast to it (12 bytes each); more grams take more passes.
@@ -132,7 +132,7 @@ def gram_counts(docs: DataFrame, text_col: str, depth: int, weight: int = 1) ->
             for i in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000].astype(np.int64)), pa.array(n[i : i + 100_000] * weight)], names=["gram", "n"])
 
-    return docs.select(docs[text_col].cast("string")).mapInArrow(run, "gram long, n long")
+    return text_pass(docs.select(docs[text_col].cast("string")), run, "gram long, n long")
 
 
 def code_lengths(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -200,7 +200,7 @@ def _score_pass(docs: DataFrame, table: pd.DataFrame, depth: int) -> DataFrame:
                 total[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), np.diff(off)), bits[at], hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(total)], names=["doc_id", "n_bytes", "bits"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, bits double")
+    return text_pass(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, "doc_id long, n_bytes long, bits double")
 
 
 def score_texts(docs: DataFrame, corpus: DataFrame | None = None, depth: int = DEPTH, pass_grams: int = PASS_GRAMS) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import Lookup, lower, pieces, ragged, row_of
+from .scratch import text_pass
 
 Q = 8
 #: Edits allowed a character of an item; items shorter than MIN_CHARS after folding aren't searched.
@@ -37,8 +38,8 @@ _FOLD[0x80:] = np.arange(0x80, 0x100)
 
 def fold(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, folded bytes, folded offsets, their places in the lower-cased bytes, those bytes); each row ends in a line feed."""
-    lines = pc.binary_join_element_wise(lower(column), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
-    for lo, hi, raw, off in pieces(lines, limit):
+    lines = lambda c: pc.binary_join_element_wise(lower(c), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
+    for lo, hi, raw, off in pieces(column, limit, lines):
         buf = _FOLD[raw]
         buf[off[1:] - 1] = 10
         keep = np.empty(len(buf), bool)
@@ -169,7 +170,6 @@ class Matcher:
             good = (edits <= self.x.budget[item]) & (start >= 0) & (end <= len(buf)) & (end > start)
             found = np.unique(np.stack([start[good], item[good], end[good], edits[good]], 1), axis=0)
             rows = row_of(found[:, 0], off)
-            heads = np.searchsorted(places, np.arange(0))  # noqa: F841
             for r, (s, i, e, c) in zip(rows.tolist(), found.tolist()):
                 if e > off[r + 1]:
                     continue
@@ -234,7 +234,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_ch
                 columns = [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array(matcher.x.ids[[r[1] for r in rows]] if rows else [], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array([r[i] for r in rows], pa.int32()) for i in (2, 3, 4)], names=["doc_id", "item_id", "start", "end", "edits"])
 
-        return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+        return text_pass(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, SCHEMA)
 
     found = [search(i) for i in indexes(benchmark, rate, min_chars, pass_bytes)]
     out = found[0]
@@ -256,5 +256,5 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_c
                 stays[[f[0] for f in matcher.leaks(batch.column(at).cast(pa.string()))]] = False
                 yield batch.filter(pa.array(stays))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = text_pass(docs, run, docs.schema)
     return docs

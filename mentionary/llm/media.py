@@ -21,6 +21,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import text_pass
+
 SCHEMA = "media_id long, at int, length int, declared string, sniffed string, action string, nested boolean"
 
 
@@ -282,7 +284,7 @@ def sniff_media(blobs: DataFrame, id_col: str, blob_col: str, declared_col: str
             rows = [(i.as_py(), *r) for i, b, d in zip(*batch.columns) for r in sniff(b.as_py(), d.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
-    return blobs.select(blobs[id_col].cast("long").alias("media_id"), blobs[blob_col].cast("binary").alias("blob"), declared.alias("declared")).mapInArrow(run, SCHEMA)
+    return text_pass(blobs.select(blobs[id_col].cast("long").alias("media_id"), blobs[blob_col].cast("binary").alias("blob"), declared.alias("declared")), run, SCHEMA)
 
 
 def page_media(pages: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .buffers import WORD, lower, mix, pieces, prefix_hash, runs, span_hash
-from .scratch import written
+from .scratch import text_pass, written
 
 THRESHOLD, NGRAM, TREES, RECALL = 0.6, 3, 24, 0.95
 #: Signatures may differ from the threshold by this much (four standard deviations) before the sets are compared.
@@ -39,7 +39,7 @@ def forest_depth(threshold: float, trees: int, recall: float, longest: int = 16)
 
 def shingle_hashes(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, offsets, hashes) of the word n-grams of each text; a shorter text is one n-gram of all its words."""
-    for lo, hi, buf, off in pieces(lower(column)):
+    for lo, hi, buf, off in pieces(column, prepare=lower):
         starts, ends, rows = runs(WORD[buf], off)
         h = span_hash(prefix_hash(buf), starts, ends)
         count = np.bincount(rows, minlength=hi - lo)
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, n: int, k: int) -> DataFrame:
                     names=["doc_id", "size", "s1", "s2", "sig"],
                 )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, size int, s1 long, s2 long, sig binary")
+    return text_pass(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id is not null"), run, "doc_id long, size int, s1 long, s2 long, sig binary")
 
 
 def set_classes(docs: DataFrame, n: int, k: int) -> DataFrame:
@@ -146,7 +146,7 @@ def candidates(classes: DataFrame, threshold: float, trees: int, depth: int) ->
                 out.extend((bucket, int(r[a]), found.get(a, [])) for a in sorted(involved))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t.type) for i, t in enumerate(schema)], schema=schema)
 
-    return buckets.select("bucket", "tree", "m").mapInArrow(run, "bucket long, rep long, partners array<long>")
+    return text_pass(buckets.select("bucket", "tree", "m"), run, "bucket long, rep long, partners array<long>")
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, inside: bool, limit: int = BROADCAST_IDS, must: bool = True) -> DataFrame:
@@ -162,7 +162,7 @@ def with_ids(docs: DataFrame, ids: DataFrame, inside: bool, limit: int = BROADCA
         if not must:
             return docs
         other = ids.select(F.col(name).alias("__with_ids"))
-        return docs.join(other, docs["doc_id"] == F.col("__with_ids"), "left_semi" if inside else "left_anti")
+        return docs.join(other, docs["doc_id"] == other["__with_ids"], "left_semi" if inside else "left_anti")
     have = np.sort(ids.toArrow()[name].combine_chunks().to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(have)
     at = docs.columns.index("doc_id")
@@ -179,7 +179,7 @@ def with_ids(docs: DataFrame, ids: DataFrame, inside: bool, limit: int = BROADCA
             found &= ~np.asarray(own.is_null())
             yield batch.filter(pa.array(found == inside))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_pass(docs, run, docs.schema)
 
 
 def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -228,7 +228,7 @@ def verified(docs: DataFrame, found: DataFrame, n: int, threshold: float) -> Dat
         compare(members, out)
         yield made()
 
-    return rows.mapInArrow(run, "doc_a long, doc_b long, jaccard double")
+    return text_pass(rows, run, "doc_a long, doc_b long, jaccard double")
 
 
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .buffers import pieces, prefix_hash, runs, span_hash
+from .scratch import text_pass
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SSN", "NAME")
 SCHEMA = "doc_id long, start int, end int, label string, probability double"
@@ -29,6 +30,8 @@ SCHEMA = "doc_id long, start int, end int, label string, probability double"
 PLAIN = 8.0
 #: A name needs this probability; without a list of names, capitals alone are weak evidence.
 SURE_NAME = 0.8
+#: Share of the evidence against a bare capital that an equal token's being a name makes up for.
+NAME_AGREEMENT = 0.95
 #: Stretches of more plain words than this have the same potential to the last bit.
 LONGEST_GAP = 40
 
@@ -174,7 +177,7 @@ def unusual(buf: np.ndarray, off: np.ndarray) -> Tokens:
             left = text[spans[k - 1][0] : spans[k - 1][1]] if k else text[:a].strip(_TRIM) or before
             out.features.append(shape_features(core) + context_features(left, after) + (("first",) if first[i] and not special[i] else ()) + ("bias",))
             seen = known.get(("same", core.lower()))
-            if seen is not None:
+            if seen is not None and not (seen == n - 1 and out.gap[n] == 0):  # neighbours have their edge already
                 out.skips.append((seen, n, 0))
             digits = re.sub(r"\D", "", core)
             alike = ("digits", digits[-7:]) if len(digits) >= 7 else ("mail", core.lower().partition("@")[0]) if "@" in core else ("stem", core.lower().rstrip("s'")) if len(core) > 3 else None
@@ -189,7 +192,7 @@ def unusual(buf: np.ndarray, off: np.ndarray) -> Tokens:
 
 @dataclass
 class SkipChainCrf:
-    """Feature weights, transitions between neighbouring tokens, and what agreeing adds on equal and on similar tokens."""
+    """Feature weights, transitions between neighbouring tokens, and what agreeing on each label adds on equal and on similar tokens."""
 
     index: dict[str, int]
     weights: np.ndarray
@@ -248,7 +251,7 @@ class SkipChainCrf:
             return gaps, np.zeros(0)
         between = self.gap_potentials()[np.minimum(gaps[chain], LONGEST_GAP)]
         edges = np.stack([chain - 1, chain], 1)
-        agree = np.exp(self.skip[:, None, None] * np.eye(len(LABELS)))
+        agree = np.exp(self.skip[:, :, None] * np.eye(len(LABELS)))
         if t.skips:
             s = np.array(t.skips)
             edges, between = np.concatenate([edges, s[:, :2]]), np.concatenate([between, agree[s[:, 2]]])
@@ -367,19 +370,24 @@ def trained(texts: int = 1500, steps: int = 250, l2: float = 1e-3) -> SkipChainC
     for a, b, kind in skips:
         agree[kind, a, y[b]] += 1
         agree[kind, b, y[a]] += 1
-    w, tr, sk = np.zeros((f, k)), np.zeros((k, k)), np.zeros(2)
+    w, tr, sk = np.zeros((f, k)), np.zeros((k, k)), np.zeros((2, k))
     moments = [[np.zeros_like(v), np.zeros_like(v)] for v in (w, tr, sk)]
     for step in range(1, steps + 1):
-        s = x @ w + before @ tr + after @ tr.T + np.tensordot(sk, agree, 1)
+        s = x @ w + before @ tr + after @ tr.T + (agree * sk[:, None, :]).sum(0)
         p = np.exp(s - s.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         e = (p - truth) / n
-        grads = (x.T @ e + l2 * w / 10, before.T @ e + e.T @ after + l2 * tr / 10, (agree * e).sum((1, 2)) + l2 * sk)
+        grads = (x.T @ e + l2 * w / 10, before.T @ e + e.T @ after + l2 * tr / 10, (agree * e).sum(1) + l2 * sk / 10)
         for v, g, m in zip((w, tr, sk), grads, moments):  # Adam
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g * g
             v -= 0.1 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-9)
-    return SkipChainCrf(index, w, tr, np.maximum(sk, 0))
+    sk = np.maximum(sk, 0)
+    # agreeing on a name may cancel what speaks against a bare capital, but not outweigh it: without other evidence repetition makes no name
+    o, name, bare = 0, LABELS.index("NAME"), w[index["capital"]] + w[index["bias"]]
+    margin = bare[o] - bare[name] + 2 * tr[o, o] - tr[o, name] - tr[name, o]
+    sk[:, name] = np.minimum(sk[:, name], sk[:, o] + NAME_AGREEMENT * max(0.0, margin))
+    return SkipChainCrf(index, w, tr, sk)
 
 
 def find_pii(docs: DataFrame, model: SkipChainCrf | None = None) -> DataFrame:
@@ -404,7 +412,7 @@ def find_pii(docs: DataFrame, model: SkipChainCrf | None = None) -> DataFrame:
                 names=["doc_id", "start", "end", "label", "probability"],
             )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return text_pass(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, SCHEMA)
 
 
 def redact(docs: DataFrame, model: SkipChainCrf | None = None) -> DataFrame:
@@ -437,4 +445,4 @@ def redact(docs: DataFrame, model: SkipChainCrf | None = None) -> DataFrame:
                 batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_pass(docs, run, docs.schema)

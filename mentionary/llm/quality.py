@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import WORD, mix, pieces, prefix_hash, runs, span_hash
-from .scratch import written
+from .scratch import text_pass, written
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "upper", "digit", "space", "symbol", "stop", "lines", "line_length",
@@ -213,7 +213,7 @@ def features_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             flat = pa.array(x.ravel(), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), flat)], names=["doc_id", "features"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, features array<double>")
+    return text_pass(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), run, "doc_id long, features array<double>")
 
 
 def train(features: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 20_000, **params) -> AdditiveModel:
@@ -236,7 +236,7 @@ def score(features: DataFrame, model: AdditiveModel) -> DataFrame:
             q = 1 / (1 + np.exp(-model.score(x)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(q, 9)), pa.array(q >= model.threshold)], names=["doc_id", "quality", "keep"])
 
-    return features.select("doc_id", "features").mapInArrow(run, "doc_id long, quality double, keep boolean")
+    return text_pass(features.select("doc_id", "features"), run, "doc_id long, quality double, keep boolean")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **params) -> DataFrame:

@@ -1,5 +1,25 @@
-"""The shared folder's tables, under the name by which this subpackage knows them."""
+"""The shared folder's tables, and passes over texts in batches that fit a worker's memory."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 
 from ..storage import clear, shared_folder, written
 
-__all__ = ["clear", "shared_folder", "written"]
+__all__ = ["clear", "shared_folder", "text_pass", "written"]
+
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_pass(df: DataFrame, run: Callable, schema, rows: int = 1000) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of ``rows`` rows.
+
+    Spark's default of 10,000 rows is meant for numbers; that many documents, with the
+    copies that a pass makes, would take hundreds of megabytes of each Python worker.
+    Where the session has the default it is lowered; another setting is left as it is.
+    """
+    if df.sparkSession.conf.get(_ROWS) == "10000":
+        df.sparkSession.conf.set(_ROWS, str(rows))
+    return df.mapInArrow(run, schema)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .buffers import pieces, runs
+from .scratch import text_pass
 
 
 @dataclass(frozen=True)
@@ -133,4 +134,4 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = list(findings(batch.column(1), batch.column(0).to_pylist(), classes, allow))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(schema)], schema=schema)
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, SCHEMA)
+    return text_pass(docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")), run, SCHEMA)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import WORD, lower, mix, pieces, prefix_hash, runs, span_hash
-from .scratch import written
+from .scratch import text_pass, written
 
 #: Kinds of identity terms; a counterfactual replaces a term by the others of its list.
 IDENTITY = (
@@ -45,7 +45,7 @@ DOC_SCHEMA = "doc_id long, toxicity double, toxic boolean"
 
 def feature_ids(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, row, feature) of every word and word beginning of a column of texts."""
-    for lo, hi, buf, off in pieces(lower(column)):
+    for lo, hi, buf, off in pieces(column, prepare=lower):
         starts, ends, rows = runs(WORD[buf], off)
         sums = prefix_hash(buf)
         length = ends - starts
@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_distinct(batch.column(2)), lists), pa.array(_swaps(batch.column(2).to_pylist(), identity), pa.list_(lists))], names=["id", "y", "features", "swaps"])
 
-    sample = written(sample.mapInArrow(extract, kind), "toxicity-sample")
+    sample = written(text_pass(sample, extract, kind), "toxicity-sample")
     size = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
         return _prior(sum(size.values()), size.get(1, 0))
@@ -236,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows
             swaps = [[_local(np.asarray(s, np.int64), chosen) for s in t] for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, lists), pa.array(swaps, pa.list_(lists))], names=["id", "y", "features", "swaps"])
 
-    rows = sorted(sample.mapInArrow(local, kind).toArrow().to_pylist(), key=lambda r: (r["id"], r["y"], r["features"]))
+    rows = sorted(text_pass(sample, local, kind).toArrow().to_pylist(), key=lambda r: (r["id"], r["y"], r["features"]))
     swaps = [np.array(s, np.int32) for r in rows for s in r["swaps"]]
     return optimise(np.array([r["y"] for r in rows], float), [np.array(r["features"], np.int32) for r in rows], swaps, chosen, **params)
 
@@ -249,7 +249,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             p = model.score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(p, 9)), pa.array(p >= model.threshold)], names=["doc_id", "toxicity", "toxic"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, DOC_SCHEMA)
+    return text_pass(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, DOC_SCHEMA)
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
@@ -275,4 +275,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             stays = (model.score(text) < model.threshold) | np.asarray(text.is_null()) | (np.asarray(pa.compute.binary_length(text).fill_null(0)) == 0)
             yield batch.filter(pa.array(stays))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_pass(docs, run, docs.schema)

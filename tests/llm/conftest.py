@@ -1,17 +1,16 @@
-import random
+import sys
+from pathlib import Path
 
-import pytest
+sys.path.insert(0, str(Path(__file__).parent))
+
+import pytest  # noqa: E402
+from conftest_llm import prose  # noqa: E402
 
 #: Columns that clash with what operators name their own.
 EXTRA = "score double, toxic boolean, ids array<int>, `start` int, rep bigint, sig binary, bucket bigint, gram bigint, bits double, keep boolean, `row` int, item_id bigint, __with_ids bigint, jaccard double"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + EXTRA
 
 
-def prose(seed: int, n: int) -> str:
-    r = random.Random(seed)
-    return " ".join("".join(r.choice(["an", "er", "st", "ion", "el", "ou", "ti", "re", "ch", "é"]) for _ in range(r.randint(1, 4))) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def awkward(spark):
     """Nulls in every column, empty and blank texts, a very long text, repeated rows, and clashing columns."""
