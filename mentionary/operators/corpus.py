@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 from ..functions.text import admissible_word, tokens
 
 
-def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
-    """A 0-based position in the order of ``key`` over the whole table, without one task that sorts it all.
+def numbered(df: DataFrame, key: str | list[str], name: str) -> DataFrame:
+    """A 0-based position in the order of ``key`` (one or several columns) over the whole table, without one task that sorts it all.
 
     Rows are range-partitioned by the key and sorted there; each partition's first number
     is the number of rows before it, which is all the driver sees.
     """
-    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.withColumn("__in", F.row_number().over(W.partitionBy("__part").orderBy(key)) - 1)
-    before = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min(key).alias("__least"))
+    keys = [key] if isinstance(key, str) else key
+    ranged = df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    ranged = ranged.withColumn("__in", F.row_number().over(W.partitionBy("__part").orderBy(*keys)) - 1)
+    before = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min(F.struct(*keys)).alias("__least"))
     start = before.withColumn("__start", F.coalesce(F.sum("__n").over(W.orderBy("__least").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__part", "__start")
     return ranged.join(F.broadcast(start), "__part").withColumn(name, (F.col("__start") + F.col("__in")).cast("bigint")).drop("__part", "__in", "__start")
 

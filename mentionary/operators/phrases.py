@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import allowed_phrase, tokens
+from .corpus import numbered
 
 
 def known_words(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_words: int = 3000, cut=tokens) -> DataFrame:
@@ -29,14 +30,13 @@ def phrase_trie(forms: DataFrame, dictionary: DataFrame, longest: int = 8) -> Da
     prefixes = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(longest))), lambda n: F.slice("w", 1, n))).alias("w")).distinct()
     nodes = prefixes.select(F.array_join("w", " ").alias("phrase"), F.size("w").alias("level"), F.array_join(F.slice("w", 1, F.size("w") - 1), " ").alias("parent"), F.element_at("w", -1).alias("word"))
     nodes = nodes.join(dictionary.select("word", "word_id"), "word")
-    out, ids, offset = None, None, F.lit(0).cast("bigint")
+    out, ids = None, None
     for level in range(1, longest + 1):
         here = nodes.where(F.col("level") == level)
         here = here.withColumn("parent_id", F.lit(-1).cast("bigint")) if ids is None else here.join(ids.select(F.col("phrase").alias("parent"), F.col("phrase_id").alias("parent_id")), "parent")
-        start = F.lit(0).cast("bigint") if out is None else None
-        here = here.withColumn("at", F.row_number().over(W.orderBy("parent_id", "word_id")) - 1)
+        here = numbered(here, ["parent_id", "word_id"], "at")
         if out is None:
-            here = here.withColumn("phrase_id", F.col("at") + start)
+            here = here.withColumn("phrase_id", F.col("at"))
         else:
             here = here.crossJoin(F.broadcast(out.agg(F.count("*").alias("before")))).withColumn("phrase_id", F.col("at") + F.col("before")).drop("before")
         here = here.select("phrase", "level", "parent", "word", F.col("phrase_id").cast("bigint").alias("phrase_id"))

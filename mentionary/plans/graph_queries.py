@@ -219,7 +219,6 @@ def bounded_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.shortest_paths(p.select(F.col("p_partkey").alias("node")), e, 12.0)
 
 
-_USERS = "SELECT DISTINCT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1"
 _CHAINS = "SELECT c_custkey AS a, c_custkey + 1 + c_nationkey % 2 * 1000000 AS b FROM customer"
 
 
