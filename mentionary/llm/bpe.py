@@ -306,6 +306,7 @@ def encode_texts(docs: DataFrame, vocabulary: str | Vocabulary, pattern: str = P
                     pa.array(exact, mask=mask),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "n_tokens", "exact"])
+        coder._forget()  # the next task has other pieces
 
     return text_pass(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, SCHEMA)
 

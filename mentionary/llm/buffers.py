@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once: arrays of eight bytes a position stay in cache-sized memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}

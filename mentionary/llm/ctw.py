@@ -118,7 +118,7 @@ def gram_counts(docs: DataFrame, text_col: str, depth: int, weight: int = 1) ->
             return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
 
         for batch in batches:
-            for _, _, buf, off in pieces(batch.column(0), 1 << 21):
+            for _, _, buf, off in pieces(batch.column(0), 1 << 20):
                 if len(buf):
                     key, n = np.unique(grams(buf, off, depth), return_counts=True)
                     keys.append(key)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import Lookup, lower, pieces, ragged, row_of
+from .buffers import CHUNK, Lookup, lower, pieces, ragged, row_of
 from .scratch import text_pass
 
 Q = 8
@@ -36,7 +36,7 @@ for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
 _FOLD[0x80:] = np.arange(0x80, 0x100)
 
 
-def fold(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def fold(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, folded bytes, folded offsets, their places in the lower-cased bytes, those bytes); each row ends in a line feed."""
     lines = lambda c: pc.binary_join_element_wise(lower(c), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
     for lo, hi, raw, off in pieces(column, limit, lines):

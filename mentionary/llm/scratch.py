@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..storage import clear, shared_folder, written
@@ -13,8 +15,16 @@ __all__ = ["clear", "shared_folder", "text_pass", "written"]
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def _release() -> None:
+    """Give freed memory back to the system; a worker that waits for its next task would keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc alone has it
+        trim(0)
+
+
 def text_pass(df: DataFrame, run: Callable, schema, rows: int = 1000) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` in batches of ``rows`` rows.
+    """``df.mapInArrow(run, schema)`` in batches of ``rows`` rows, by workers that keep no memory after a task.
 
     Spark's default of 10,000 rows is meant for numbers; that many documents, with the
     copies that a pass makes, would take hundreds of megabytes of each Python worker.
@@ -22,4 +32,11 @@ def text_pass(df: DataFrame, run: Callable, schema, rows: int = 1000) -> DataFra
     """
     if df.sparkSession.conf.get(_ROWS) == "10000":
         df.sparkSession.conf.set(_ROWS, str(rows))
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(task, schema)
