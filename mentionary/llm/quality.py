@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import WORD, mix, pieces, prefix_hash, runs, span_hash
-from .scratch import text_pass, written
+from .scratch import first_by_hash, text_pass, written
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "upper", "digit", "space", "symbol", "stop", "lines", "line_length",
@@ -222,7 +222,8 @@ def train(features: DataFrame, labels: DataFrame, label_col: str = "quality", ma
     Labels that are null or of unknown documents are left out; a repeated id counts once, with its highest label.
     """
     y = labels.where(labels[label_col].isNotNull() & labels["doc_id"].isNotNull()).groupBy(labels["doc_id"].cast("long").alias("doc_id")).agg(F.max(labels[label_col].cast("double")).alias("y"))
-    rows = features.dropDuplicates(["doc_id"]).join(y, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("features", "y").toPandas()
+    sample = F.broadcast(first_by_hash(y, "doc_id", max_rows))  # of bounded size, so a broadcast whatever the corpus
+    rows = features.join(sample, "doc_id").groupBy("doc_id", "y").agg(F.min("features").alias("features")).orderBy("doc_id").select("features", "y").toPandas()
     x = np.stack(rows["features"].to_numpy()) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, rows["y"].to_numpy(float), **params)
 

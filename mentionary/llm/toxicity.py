@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import WORD, lower, mix, pieces, prefix_hash, runs, span_hash
-from .scratch import text_pass, written
+from .scratch import first_by_hash, text_pass, written
 
 #: Kinds of identity terms; a counterfactual replaces a term by the others of its list.
 IDENTITY = (
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows
     counts once in the sample, with its highest label, and with each of its texts.
     """
     y = labels.where(labels[label_col].isNotNull() & labels["doc_id"].isNotNull()).groupBy(labels["doc_id"].cast("long").alias("_id")).agg(F.max((labels[label_col] > 0).cast("int")).alias("_y"))
-    parts = [y.where(F.col("_y") == k).orderBy(F.xxhash64("_id"), "_id").limit(max_rows) for k in (0, 1)]
+    parts = [first_by_hash(y.where(F.col("_y") == k), "_id", max_rows) for k in (0, 1)]
     texts = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("_text")).where("_text is not null")
     sample = texts.join(F.broadcast(parts[0].union(parts[1])), "_id").select("_id", "_y", "_text")
     kind = "id long, y int, features array<int>, swaps array<array<int>>"
