@@ -185,6 +185,12 @@ def digest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_topics(resolve.digest_links(both, resolve.digest_topics(both)))
 
 
+@query()
+def output_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, a, b = _linked(spark, sf_dir)
+    return clustering.cluster_topics(resolve.output_edges(a.unionByName(b)), 0.99, True)
+
+
 @query(f"WITH {PARTS} SELECT a, b, (count(*) * 2)::DOUBLE AS weight FROM (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges) GROUP BY a, b")
 def edge_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = kb.parts_together(spark, sf_dir).withColumn("weight", F.lit(2.0))

@@ -55,6 +55,12 @@ def ranked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.ranked_groups(v).withColumn("mean_rank", F.round("mean_rank", 9))
 
 
+@query("SELECT p_partkey, ((k - 1) // 5)::INT AS row, ((k - 1) % 5)::INT AS col FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS k FROM part WHERE p_brand = 'Brand#11' OR p_size = 7)")
+def skills_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mine = table(spark, sf_dir, "part").where("p_brand = 'Brand#11' or p_size = 7")  # one document's skills
+    return vectors.grid(mine, [F.desc("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "row", "col")
+
+
 _DENSE = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS c FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id)"
 
 

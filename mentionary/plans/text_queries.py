@@ -204,6 +204,11 @@ def phrase_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.find_phrases(asked.select(F.lower("phrase").alias("phrase")), trie_levels(spark, sf_dir))
 
 
+@query(f"WITH {_TRIE}, asked AS (SELECT p_name AS phrase FROM part UNION SELECT p_type FROM part) SELECT count(*)::BIGINT AS total, count(t.phrase_id)::BIGINT AS found FROM asked a LEFT JOIN trie t ON t.phrase = lower(a.phrase)")
+def phrase_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_lookup(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.col("phrase_id") >= 0).alias("found"))
+
+
 @query(f"WITH {_TRIE} SELECT c.phrase_id, coalesce(p.phrase_id, -1) AS parent_id, c.phrase FROM trie c LEFT JOIN trie p ON p.phrase = c.parent AND p.level = c.level - 1")
 def phrase_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trie_levels(spark, sf_dir)
@@ -229,6 +234,30 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", "k double")["k"].alias("k"))
 
 
+@query(r"SELECT doc_id, len(w)::INT AS words, list_sum(list_transform(w, lambda x: octet_length(encode(x))))::BIGINT AS bytes FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\x0B]+'), lambda x: x <> '' AND octet_length(encode(x)) <= 8192) AS w FROM documents)")
+def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "documents").select("doc_id", markup.word_list("text").alias("w"))
+    return w.select("doc_id", F.size("w").alias("words"), F.aggregate("w", F.lit(0).cast("bigint"), lambda s, x: s + F.octet_length(x)).alias("bytes"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[^\\x00-\\x7F]', '', 'g') AS ascii, length(url) - length(replace(url, '/', '')) AS slashes FROM pages")
+def ascii_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.ascii_only("url").alias("ascii"), (F.length("url") - F.length(F.replace("url", F.lit("/"), F.lit("")))).cast("bigint").alias("slashes"))
+
+
+@query("SELECT s_suppkey, CAST(split_part(translate(p, '() ', ''), ',', 1) AS DOUBLE) AS lat, CAST(split_part(translate(p, '() ', ''), ',', 2) AS DOUBLE) AS lon, round(greatest(ln(10000.0::DOUBLE * w), 0.0), 9) AS font FROM (SELECT s_suppkey, '(' || (s_suppkey % 90) || ', -' || (s_suppkey % 180) || ')' AS p, 1.0::DOUBLE / (s_suppkey + 1) / (s_suppkey + 1) AS w FROM supplier)")
+def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    p = F.concat(F.lit("("), (k % 90).cast("string"), F.lit(", -"), (k % 180).cast("string"), F.lit(")"))
+    at = text.parse_location(p)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", at["lat"].alias("lat"), at["lon"].alias("lon"), F.round(text.font_weight(F.lit(1.0) / (k + 1) / (k + 1)), 9).alias("font"))
+
+
+@query(r"SELECT page_id, NOT (regexp_matches(html, '(?i)\{\{\s*(?:disambig|hndis|geodis|surname|given name)\b') OR starts_with(url, 'List of') OR starts_with(url, 'Table of') OR starts_with(url, 'File:') OR starts_with(url, 'Template:') OR starts_with(url, 'Wikipedia:') OR starts_with(url, 'Portal:') OR starts_with(url, 'MediaWiki:')) AS good FROM pages")
+def good_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", markup.good_page("url", "html").alias("good"))
+
+
 @query()
 def metaphone_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.phonetic import metaphone

@@ -261,3 +261,10 @@ def test_windowed_counts_and_event_log(spark, tmp_path):
     assert sorted((r.event_type, r.n, r.value) for r in spark.table("windowed").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
     matching.event_log(stream, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "log")).count() == 3
+
+
+def test_lines_through_a_program(spark):
+    from mentionary.sources.process import pipe
+
+    lines = spark.createDataFrame([("abc",), (None,), ("cab",)], "line string")
+    assert sorted(r.line for r in pipe(lines, "tr a-c A-C").collect()) == ["", "ABC", "CAB"]
