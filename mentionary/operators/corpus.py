@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import admissible_word, tokens
+from ..storage import spread
 
 
 def numbered(df: DataFrame, key: str | list[str], name: str) -> DataFrame:
@@ -25,7 +26,7 @@ def numbered(df: DataFrame, key: str | list[str], name: str) -> DataFrame:
 
 def document_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut=tokens) -> DataFrame:
     """(doc, word): the distinct words of each document, found before any shuffle."""
-    return docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(cut(text_col))).alias("word"))
+    return spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(cut(text_col))).alias("word"))
 
 
 def word_document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,7 +91,7 @@ def phrase_document_frequency(docs: DataFrame, longest: int, phrases: DataFrame,
 
     Candidate n-grams are made distinct inside the row, before they meet the phrases.
     """
-    own = docs.select(F.col(id_col).alias("doc"), cut(text_col).alias("w"))
+    own = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc"), cut(text_col).alias("w"))
     grams = [ngrams("w", k) for k in range(1, longest + 1)]
     found = own.select("doc", F.explode(F.array_distinct(F.concat(*grams))).alias("phrase"))
     return found.join(phrases.select("phrase").distinct(), "phrase").groupBy("phrase").agg(F.count("*").alias("n"))
@@ -112,7 +113,7 @@ def tf_idf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top:
     ``commoner_than`` and fewer than ``rarer_than`` documents; N div df is whole, as it
     always was in this weighting.
     """
-    rows = docs.select(F.col(id_col).alias("doc"), cut(text_col).alias("w")).where(F.size("w") >= least_words)
+    rows = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc"), cut(text_col).alias("w")).where(F.size("w") >= least_words)
     tf = rows.select("doc", F.size("w").alias("size"), F.explode("w").alias("word")).groupBy("doc", "size", "word").agg(F.count("*").alias("c"))
     df = tf.groupBy("word").agg(F.count("*").alias("df")).where((F.col("df") > commoner_than) & (F.col("df") < rarer_than))
     n = rows.agg(F.count("*").alias("docs"))

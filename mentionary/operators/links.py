@@ -14,22 +14,39 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select("b", "a")).distinct()
 
 
+def common_neighbours(near: DataFrame, degree: DataFrame) -> DataFrame:
+    """(a, b, common), a < b, of the joined pairs that have common neighbours; ``near`` both ways, ``degree`` (a, d).
+
+    These are the triangles over each edge. Edges point from the smaller degree to the
+    larger, so a node has at most the root of twice the edges to pair up, hubs included,
+    and each triangle is found once, at its smallest corner.
+    """
+    sized = near.where("a < b").join(degree.withColumnsRenamed({"d": "da"}), "a").join(degree.withColumnsRenamed({"a": "b", "d": "db"}), "b")
+    up = F.col("da") <= F.col("db")  # of equal degrees the smaller id, which is a
+    pick = lambda x, y, name: F.when(up, F.col(x)).otherwise(F.col(y)).alias(name)
+    out = sized.select(pick("a", "b", "u"), pick("b", "a", "v"), pick("db", "da", "d"))
+    wedges = out.select("u", "v", F.col("d").alias("dv")).join(out.select("u", F.col("v").alias("w"), F.col("d").alias("dw")), "u").where("dv < dw or dv = dw and v < w")
+    closed = wedges.select("u", "v", "w").join(out.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_semi")
+    sides = F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("u").alias("x"), F.col("w").alias("y")), F.struct(F.col("v").alias("x"), F.col("w").alias("y"))))
+    return closed.select(sides.alias("s")).groupBy(F.least("s.x", "s.y").alias("a"), F.greatest("s.x", "s.y").alias("b")).agg(F.count("*").alias("common"))
+
+
 def link_weights(edges: DataFrame) -> DataFrame:
     """(a, b, w1, w2) of every distinct edge: common neighbours plus one over each end's neighbours plus one.
 
-    Neighbourhoods are taken in both directions. Common neighbours are counted by joining
-    each edge to the shorter side's neighbours first, then looking the other side up, so
-    an edge costs its smaller degree.
+    Neighbourhoods are taken in both directions; a loop is its node's own neighbour.
     """
     one = edges.select("a", "b").distinct()
     near = both_ways(one)
     degree = near.groupBy("a").agg(F.count("*").alias("d"))
     sized = one.join(degree.withColumnsRenamed({"d": "da"}), "a").join(degree.withColumnsRenamed({"a": "b", "d": "db"}), "b")
-    probe = sized.select("a", "b", F.when(F.col("da") <= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("small"), F.when(F.col("da") <= F.col("db"), F.col("b")).otherwise(F.col("a")).alias("large"))
-    paths = probe.join(near.select(F.col("a").alias("small"), F.col("b").alias("via")), "small")
-    common = paths.join(near.select(F.col("a").alias("large"), F.col("b").alias("via")), ["large", "via"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("common"))
-    ic = F.coalesce(F.col("common"), F.lit(0)) + 1
-    return sized.join(common, ["a", "b"], "left").select("a", "b", (ic / (F.col("da") + 1)).alias("w1"), (ic / (F.col("db") + 1)).alias("w2"))
+    loops = near.where("a = b").select(F.col("a").alias("n"))
+    common = common_neighbours(near, degree).select(F.col("a").alias("x"), F.col("b").alias("y"), "common")
+    found = sized.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(common, ["x", "y"], "left")
+    for end in ("a", "b"):  # a node with a loop is common to itself and each of its neighbours
+        found = found.join(loops.select(F.col("n").alias(end), F.lit(1).alias(f"__{end}")), end, "left")
+    own = F.when(F.col("a") == F.col("b"), F.col("da")).otherwise(F.coalesce(F.col("common"), F.lit(0)) + F.coalesce(F.col("__a"), F.lit(0)) + F.coalesce(F.col("__b"), F.lit(0)))
+    return found.select("a", "b", ((own + 1) / (F.col("da") + 1)).alias("w1"), ((own + 1) / (F.col("db") + 1)).alias("w2"))
 
 
 def merged_weights(weights: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import allowed_phrase, tokens
+from ..storage import spread
 from .corpus import numbered
 
 
@@ -15,7 +16,7 @@ def known_words(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
 
     Unknown words leave no place, so phrases may run across them.
     """
-    rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.slice(cut(text_col), 1, first_words)).alias("pos", "word"))
+    rows = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc"), F.posexplode(F.slice(cut(text_col), 1, first_words)).alias("pos", "word"))
     return rows.join(vocabulary.select("word"), "word", "left_semi").withColumn("k", F.row_number().over(W.partitionBy("doc").orderBy("pos"))).select("doc", "pos", "k", "word")
 
 

@@ -93,6 +93,18 @@ def grid(df: DataFrame, order: list, columns: int = 5) -> DataFrame:
     return df.withColumn("row", F.floor(i / columns).cast("int")).withColumn("col", (i % columns).cast("int"))
 
 
+def unit(c: str):
+    """An array column over its norm, as doubles; null where the norm is 0."""
+    x = F.transform(F.col(c), lambda v: v.cast("double"))
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    return F.when(norm > 0, F.transform(x, lambda v: v / norm))
+
+
+def dot(a: str, b: str):
+    """Inner product of two array columns of doubles."""
+    return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
 def dense_cosine(a: str, b: str):
     """Cosine of two array columns, inside the row."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -65,9 +65,9 @@ _DENSE = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    other = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("vb"))
-    return e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("va")).join(other, "label").where("a <> b").select("a", "b", F.round(vectors.dense_cosine("va", "vb"), 9).alias("similarity"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.unit("embedding").alias("v"))
+    other = e.select(F.col("vec_id").alias("b"), "label", F.col("v").alias("vb"))
+    return e.select(F.col("vec_id").alias("a"), "label", F.col("v").alias("va")).join(other, "label").where("a <> b").select("a", "b", F.round(vectors.dot("va", "vb"), 9).alias("similarity"))
 
 
 @query(_DENSE + " SELECT a, b, round(round(c, 9), 6) AS similarity FROM s WHERE a < b")

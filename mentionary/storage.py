@@ -31,6 +31,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Steps of a plan after which partitions aren't a scan's any more.
+_SHUFFLES = ("Join", "Aggregate", "Repartition", "Rebalance", "Sort", "Window", "Distinct", "Deduplicate", "InMemory", "InArrow", "InPandas", "Union", "Limit")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, over all cores where its files are fewer than these.
+
+    Work on texts costs far more than moving them; a table in one small file would leave
+    all but one core idle. A table with enough partitions is left as it is, unshuffled.
+    """
+    if df.isStreaming or any(step in df._jdf.queryExecution().optimizedPlan().toString() for step in _SHUFFLES):
+        return df  # its partitions aren't those of files, and to count them would be to run it
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this application wrote; call it when no result is needed any more."""
     jvm = spark.sparkContext._jvm

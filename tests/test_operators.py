@@ -203,6 +203,20 @@ def test_link_weights_of_a_triangle_with_a_tail(spark):
     assert {(r.a, r.b): (r.w1, r.w2) for r in links.link_weights(e).collect()} == {(1, 2): (2 / 3, 2 / 3), (2, 3): (2 / 3, 2 / 4), (1, 3): (2 / 3, 2 / 4), (3, 4): (1 / 4, 1 / 2)}
 
 
+def test_link_weights_equal_sets_of_neighbours_with_loops_and_hubs(spark):
+    r = random.Random(11)
+    edges = {(r.randrange(25), r.randrange(25)) for _ in range(90)} | {(0, i) for i in range(25)} | {(3, 3)}
+    near: dict = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    got = {(x.a, x.b): (x.w1, x.w2) for x in links.link_weights(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
+    assert got.keys() == edges
+    for a, b in edges:
+        common = 1 + len(near[a] & near[b])
+        assert got[a, b] == pytest.approx((common / (1 + len(near[a])), common / (1 + len(near[b]))))
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "dump.xml").write_text("<mediawiki><page><title>A</title><id>1</id><revision><id>7</id><text>one [[B]]</text></revision></page><page><title>B</title><id>2</id><revision><id>8</id><text/></revision></page></mediawiki>")
     import bz2
