@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import clear, shared_folder, written
+from ..storage import clear, shared_folder, spread, written
 
 __all__ = ["clear", "first_by_hash", "shared_folder", "text_pass", "written"]
 
@@ -25,7 +25,7 @@ def _release() -> None:
 
 
 def text_pass(df: DataFrame, run: Callable, schema, rows: int = 1000) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` in batches of ``rows`` rows, by workers that keep no memory after a task.
+    """``df.mapInArrow(run, schema)`` in batches of ``rows`` rows, by workers that keep no memory after a task, on all cores.
 
     Spark's default of 10,000 rows is meant for numbers; that many documents, with the
     copies that a pass makes, would take hundreds of megabytes of each Python worker.
@@ -40,7 +40,7 @@ def text_pass(df: DataFrame, run: Callable, schema, rows: int = 1000) -> DataFra
         finally:
             _release()
 
-    return df.mapInArrow(task, schema)
+    return spread(df).mapInArrow(task, schema)
 
 
 def first_by_hash(df: DataFrame, id_col: str, n: int) -> DataFrame:
