@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
+
+#: Vectors in a block of ``dense_pairs`` and ``dense_top``; a task holds one product of two blocks.
+BLOCK = 2048
+
 
 def norms(vectors: DataFrame) -> DataFrame:
     """(doc, norm, size) of vectors (doc, topic, weight)."""
@@ -111,6 +120,84 @@ def dense_cosine(a: str, b: str):
     return F.try_divide(dot(F.col(a), F.col(b)), F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b))))
 
 
+def _blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """(block, rows): vectors (id, v) by a hash of the id, about ``size`` to a row."""
+    number = max(1, -(-vectors.count() // size))
+    rows = vectors.groupBy(F.pmod(F.xxhash64("id"), F.lit(number)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    return written(rows, "vector-blocks")
+
+
+def _matrix(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, lengths (-1 for no vector) and vectors of a block, padded with zeros to the longest."""
+    ids, v = rows.values.field("id").to_numpy(zero_copy_only=False), rows.values.field("v")
+    size = np.array([-1 if n is None else n for n in v.value_lengths().to_pylist()])
+    out = np.zeros((len(size), max(0, size.max(initial=0))))
+    out[np.arange(out.shape[1]) < size[:, None]] = v.flatten().to_numpy(zero_copy_only=False)
+    return ids, size, out
+
+
+def _products(vectors: DataFrame, size: int, where: str, emit, schema: str) -> DataFrame:
+    """``emit(i, j, ids, others, similarity)`` for every two blocks; the similarity has 9 decimals, -inf where there is none."""
+    one = _blocks(vectors, size)
+    pairs = one.select(F.col("block").alias("i"), F.col("rows").alias("x")).crossJoin(one.select(F.col("block").alias("j"), F.col("rows").alias("y"))).where(where)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x, j, y in zip(*(batch.column(c) for c in ("i", "x", "j", "y"))):
+                (a, m, p), (b, n, q) = _matrix(x), _matrix(y)
+                width = max(p.shape[1], q.shape[1])
+                p, q = (np.pad(z, ((0, 0), (0, width - z.shape[1]))) for z in (p, q))
+                found = np.floor((p @ q.T) * 1e9 + 0.5) / 1e9
+                found[(m[:, None] != n) | (m[:, None] < 0)] = -np.inf
+                yield from emit(i.as_py(), j.as_py(), a, b, found)
+
+    return pairs.mapInArrow(run, schema)
+
+
+def _batch(a: np.ndarray, b: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(found, mask=found == -np.inf)], names=["a", "b", "similarity"])
+
+
+def dense_pairs(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(a, b, similarity), a < b: products of all pairs of vectors (id, v), to 9 decimals; null where one is null or their lengths differ.
+
+    Vectors meet as matrices, each pair of blocks once, and no row is made before its product.
+    """
+
+    def emit(i: int, j: int, a: np.ndarray, b: np.ndarray, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(a), 64):
+            x, y = np.repeat(a[k : k + 64], len(b)), np.tile(b, len(a[k : k + 64]))
+            keep = x < y if i == j else x != y
+            yield _batch(np.minimum(x, y)[keep], np.maximum(x, y)[keep], found[k : k + 64].ravel()[keep])
+
+    return _products(vectors, size, "i <= j", emit, "a long, b long, similarity double")
+
+
+def dense_top(vectors: DataFrame, k: int = 5, size: int = BLOCK) -> DataFrame:
+    """(a, b, similarity, rank): the ``k`` best of all other vectors for each vector (id, v), exact; ties go to the smaller id.
+
+    Each pair of blocks leaves its ``k`` best a vector, and only these are shuffled.
+    """
+
+    def emit(i: int, j: int, a: np.ndarray, b: np.ndarray, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(b, kind="stable")
+        b, found = b[order], np.nan_to_num(found[:, order], nan=np.inf, neginf=-np.inf)  # NaN is the greatest, as in SQL
+        for lo in range(0, len(a), 256):
+            part, own = found[lo : lo + 256], a[lo : lo + 256, None] == b
+            best = min(len(b), k + int(own.sum(1).max(initial=0)))
+            floor = np.partition(part, len(b) - best, axis=1)[:, len(b) - best, None]
+            row, col = np.nonzero((part >= floor) & ~own)
+            # by row, then similarity from above, then id; columns are in the ids' order
+            at = np.lexsort((col, -part[row, col], row))
+            row, col = row[at], col[at]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[first], col[first]
+            value = part[row, col]
+            yield _batch(a[lo : lo + 256][row], b[col], np.where(value == np.inf, np.nan, value))
+
+    return top_matches(_products(vectors, size, "true", emit, "a long, b long, similarity double"), k)
+
+
 def top_matches(found: DataFrame, k: int = 5, source: str = "a", target: str = "b", by: str = "similarity") -> DataFrame:
     """The ``k`` best targets of each source, ties to the smaller target."""
     return found.withColumn("rank", F.row_number().over(W.partitionBy(source).orderBy(F.desc(by), target))).where(F.col("rank") <= k)

@@ -282,3 +282,34 @@ def test_lines_through_a_program(spark):
 
     lines = spark.createDataFrame([("abc",), (None,), ("cab",)], "line string")
     assert sorted(r.line for r in pipe(lines, "tr a-c A-C").collect()) == ["", "ABC", "CAB"]
+
+
+def test_dense_vectors_meet_across_all_blocks_and_labels(spark, sf):
+    import __spark_entry__ as entry
+    import numpy as np
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
+    ids, m = e["vec_id"].to_numpy(), np.array(e["embedding"].tolist(), dtype=float)
+    m /= np.sqrt((m * m).sum(1, keepdims=True))
+    c = np.round(m @ m.T, 9)
+    pairs = entry.queries()["dense_cosine"](spark, sf).toPandas()
+    assert len(pairs) == len(ids) * (len(ids) - 1) // 2 == len(pairs[["a", "b"]].drop_duplicates()) and (pairs["a"] < pairs["b"]).all()
+    at = {x: k for k, x in enumerate(ids)}
+    assert np.allclose(pairs["similarity"], c[pairs["a"].map(at), pairs["b"].map(at)], atol=1.1e-6)
+    np.fill_diagonal(c, -np.inf)
+    want = {(ids[i], ids[j], k + 1) for i in range(len(ids)) for k, j in enumerate(np.lexsort((ids, -c[i]))[:5])}
+    top = entry.queries()["topk_per_source"](spark, sf).toPandas()
+    assert set(zip(top["a"], top["b"], top["rank"])) == want
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), vectors.unit("embedding").alias("v"))
+    small = vectors.dense_top(v, size=60).toPandas()
+    assert set(zip(small["a"], small["b"], small["rank"])) == want and vectors.dense_pairs(v, 60).select("a", "b").distinct().count() == len(pairs)
+
+
+def test_dense_vectors_with_ties_nulls_and_other_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [1.0]), (6, [0.0, 1.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    for size in (2, 100):
+        got = {(r.a, r.b): r.similarity for r in vectors.dense_pairs(v, size).collect()}
+        assert len(got) == 15 and got[1, 2] == got[2, 3] == 1.0 and got[1, 6] == 0.0 and got[1, 4] is None and got[1, 5] is None
+        top = {(r.a, r.rank): r.b for r in vectors.dense_top(v, 2, size).collect()}
+        assert top[1, 1] == 2 and top[1, 2] == 3 and top[3, 1] == 1 and top[3, 2] == 2 and top[6, 1] == 1 and top[6, 2] == 2
