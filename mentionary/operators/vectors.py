@@ -41,8 +41,9 @@ def cosine_pairs(vectors: DataFrame, above: float = 0.01) -> DataFrame:
     """(a, b, cosine), a < b, of all pairs of vectors whose cosine is above ``above``.
 
     Weights are divided by their norms before the join, so that one aggregation of the
-    shared topics gives the cosine.
+    shared topics gives the cosine. Weights of 0 add nothing and aren't joined.
     """
+    vectors = vectors.where("weight <> 0")
     unit = vectors.join(norms(vectors).where("norm > 0"), "doc").select("doc", "topic", (F.col("weight") / F.col("norm")).alias("weight"))
     return shared_topics(unit, unit).where("a < b").groupBy("a", "b").agg(F.sum(F.col("w1") * F.col("w2")).alias("cosine")).where(F.col("cosine") > above)
 

@@ -19,9 +19,12 @@ v AS (SELECT doc, word AS topic, round(c / size * ln((SELECT count(*) FROM r) //
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc, topic, weight): tf-idf vectors of conversation turns over words of 2 to 9 turns."""
+    """(doc, topic, weight): tf-idf vectors of conversation turns of 20 words or more, over words of 2 to 99,999 of them.
+
+    The upper bound is the reference's own. The SQL here stops at 9 turns and is no check of the whole job.
+    """
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return corpus.tf_idf(turns, top=1_000_000_000, least_words=20, rarer_than=10, commoner_than=1, cut=words).select("doc", F.col("word").alias("topic"), "weight")
+    return corpus.tf_idf(turns, top=1_000_000_000, least_words=20, commoner_than=1, cut=words).select("doc", F.col("word").alias("topic"), "weight")
 
 
 _UNIT = _VEC + ", n AS (SELECT doc, sqrt(sum(weight * weight)) AS norm FROM v GROUP BY doc), u AS (SELECT doc, topic, weight / norm AS weight FROM v JOIN n USING (doc) WHERE norm > 0)"
@@ -45,7 +48,8 @@ two AS (SELECT * FROM (SELECT a, b, keep, topic, weight, prim, row_number() OVER
 SELECT a, b, round(s, 6) AS similarity FROM (SELECT a, b, sqrt(d / (x * y)) AS s FROM (SELECT o.a, o.b, sum(o.weight * t.weight) AS d FROM one o JOIN two t USING (a, b, topic) GROUP BY ALL) JOIN (SELECT a, b, sqrt(sum(weight * weight)) AS x FROM one GROUP BY ALL) USING (a, b) JOIN (SELECT a, b, sqrt(sum(weight * weight)) AS y FROM two GROUP BY ALL) USING (a, b)) WHERE s > 0.1""")
 def tv_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir).withColumn("primary", F.length("topic") >= 5)
-    pairs = vectors.shared_topics(v, v).where("a < b").select("a", "b").distinct()
+    some = v.where("weight > 0")  # a pair that shares topics of weight 0 alone has similarity 0
+    pairs = vectors.shared_topics(some, some).where("a < b").select("a", "b").distinct()
     return vectors.match(pairs, v, v).withColumn("similarity", F.round("similarity", 6))
 
 

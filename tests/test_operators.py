@@ -313,3 +313,32 @@ def test_dense_vectors_with_ties_nulls_and_other_lengths(spark):
         assert len(got) == 15 and got[1, 2] == got[2, 3] == 1.0 and got[1, 6] == 0.0 and got[1, 4] is None and got[1, 5] is None
         top = {(r.a, r.rank): r.b for r in vectors.dense_top(v, 2, size).collect()}
         assert top[1, 1] == 2 and top[1, 2] == 3 and top[3, 1] == 1 and top[3, 2] == 2 and top[6, 1] == 1 and top[6, 2] == 2
+
+
+def test_turn_vectors_keep_common_words(spark, sf):
+    import math
+    from collections import Counter
+
+    import __spark_entry__ as entry
+    from mentionary.plans import match_queries
+
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), text.words("text").alias("w")).collect()
+    words = {r.doc: r.w for r in turns if r.w is not None and len(r.w) >= 20}
+    df = Counter(w for ws in words.values() for w in set(ws))
+    assert max(df.values()) >= 10
+    want = {(d, w): c / len(ws) * math.log(len(words) // df[w]) for d, ws in words.items() for w, c in Counter(ws).items() if 1 < df[w] < 100_000}
+    got = {(r.doc, r.topic): r.weight for r in match_queries._vectors(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-11 for k in want)
+    by: dict = {}
+    for (d, w), x in want.items():
+        by.setdefault(d, {})[w] = x
+    norm = {d: math.sqrt(sum(x * x for x in v.values())) for d, v in by.items()}
+    cosine = {(a, b): sum(x * by[b].get(w, 0.0) for w, x in by[a].items()) / (norm[a] * norm[b]) for a in by for b in by if a < b and norm[a] and norm[b]}
+    pairs = {(r.a, r.b): r.cosine for r in entry.queries()["cosine_pairs"](spark, sf).collect()}
+    assert pairs.keys() == {k for k, c in cosine.items() if c > 0.01} and all(abs(pairs[k] - cosine[k]) < 1e-6 for k in pairs)
+    explained = entry.queries()["cosine_explain"](spark, sf)
+    assert explained.count() == sum(n * (n - 1) // 2 for n in Counter(w for _, w in want).values())
+    ranked = entry.queries()["ranked_groups"](spark, sf)
+    assert ranked.agg(F.sum("size")).first()[0] == len(want)
+    alike = entry.queries()["tv_match"](spark, sf).select("a", "b").collect()
+    assert alike and all(a < b for a, b in alike)
