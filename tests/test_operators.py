@@ -342,3 +342,15 @@ def test_turn_vectors_keep_common_words(spark, sf):
     assert ranked.agg(F.sum("size")).first()[0] == len(want)
     alike = entry.queries()["tv_match"](spark, sf).select("a", "b").collect()
     assert alike and all(a < b for a, b in alike)
+
+
+def test_context_profile_has_the_topics_of_all_pages(spark, sf):
+    import __spark_entry__ as entry
+    from mentionary.plans import knowledge as kb
+
+    want: dict = {}
+    for r in kb.merged(spark, sf).collect():  # every topic here is some page's
+        if r.topic != r.context:
+            want[r.context] = want.get(r.context, 0.0) + r.weight
+    got = {r.context: r.weight for r in entry.queries()["context_profile"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
