@@ -74,7 +74,7 @@ sites AS (SELECT doc, start, "end", form, sum(opened) OVER (PARTITION BY doc ORD
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = kb.targets(spark, sf_dir)
     vocabulary = t.select(F.explode(F.split("form", " ")).alias("word")).distinct()
-    return phrases.mentions(phrases.known_words(kb.turns(spark, sf_dir), vocabulary), t)
+    return phrases.mentions(phrases.known_words(kb.documents(spark, sf_dir), vocabulary), t)
 
 
 @query(f'WITH {_LINKING} SELECT doc, start::INT AS start, "end"::INT AS "end", form FROM mentions')

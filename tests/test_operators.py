@@ -354,3 +354,17 @@ def test_context_profile_has_the_topics_of_all_pages(spark, sf):
             want[r.context] = want.get(r.context, 0.0) + r.weight
     got = {r.context: r.weight for r in entry.queries()["context_profile"](spark, sf).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
+@pytest.mark.parametrize("name", ["mentions", "candidate_weights", "digest_topics"])
+def test_linking_reads_documents(name, spark, sf):
+    import __spark_entry__ as entry
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    sql = entry.oracle_sql()[name].replace("conv_id * 1000 + turn AS doc", "doc_id AS doc").replace("FROM conversations", "FROM documents")
+    want = con.execute(sql).df()
+    got = entry.queries()[name](spark, sf).toPandas()[list(want.columns)]
+    assert len(want) and sorted(map(repr, got.itertuples(index=False, name=None))) == sorted(map(repr, want.itertuples(index=False, name=None)))
