@@ -7,7 +7,8 @@ Krichevsky and Trofimov's, and its weighted probability is half its own estimate
 half the product over its longer contexts. After the corpus, a decision's
 probability is a mix over all depths along its context path, with the posterior
 weights that these probabilities give. The product of the eight decisions depends
-on the (depth + 1)-gram alone, so a text is scored by one table look-up a byte.
+on the (depth + 1)-gram alone, so a text is scored by one table look-up a byte in
+each pass.
 """
 
 from __future__ import annotations
@@ -24,7 +25,12 @@ from pyspark.sql import functions as F
 from .buffers import Lookup, pieces
 from .scratch import text_pass, written
 
-DEPTH = 3
+#: Context bytes; a gram with its last byte has to fit a signed 64-bit key.
+DEPTH = 6
+#: Context bytes that the grams of one group share; shorter contexts are worked out on the driver (at most 256^2 grams).
+SHARED = 2
+#: Grams of one group, about; a context of ``SHARED`` bytes isn't split.
+GROUP_GRAMS = 200_000
 #: Grams that one pass over the texts may have broadcast to it (12 bytes each); more grams take more passes.
 PASS_GRAMS = 8_000_000
 SCHEMA = "doc_id long, n_bytes long, bits double, bits_per_byte double"
@@ -67,12 +73,12 @@ class _Level:
         mask = np.uint64((1 << (8 * (depth + 1))) - 1)
         g = gram & mask
         context, byte = g >> np.uint64(8), g & np.uint64(255)
-        self.slot, self.bit, parts = [], [], []
+        self.bit, parts = [], []
         for j in range(8):  # decision j: the context and the byte's first j bits
             parts.append((context << np.uint64(8)) | (np.uint64(1 << j) | (byte >> np.uint64(8 - j))))
-            self.bit.append(((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64))
+            self.bit.append(((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int8))
         self.key, at = np.unique(np.concatenate(parts), return_inverse=True)
-        at = at.reshape(8, -1)
+        at = at.astype(np.int32).reshape(8, -1)
         self.slot = list(at)
         ones = np.bincount(at.ravel(), (np.array(self.bit) * count).ravel(), len(self.key))
         total = np.bincount(at.ravel(), np.tile(count, 8), len(self.key))
@@ -135,55 +141,90 @@ def gram_counts(docs: DataFrame, text_col: str, depth: int, weight: int = 1) ->
     return text_pass(docs.select(docs[text_col].cast("string")), run, "gram long, n long")
 
 
-def code_lengths(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def code_lengths(counts: DataFrame, depth: int = DEPTH, group_grams: int = GROUP_GRAMS) -> DataFrame:
     """(gram, bits): the ideal code length of each gram's last byte in its context.
 
-    Contexts that end in the same byte form one subtree and are worked out together,
-    in parallel; only the 256 x 255 decision weights just below the root meet on the
-    driver, whatever the corpus.
+    Contexts that end in the same ``SHARED`` bytes form one subtree and are worked out
+    together, in parallel; only what shorter contexts count, and the weights of their
+    longer ones, meet on the driver: 256^2 grams at most, whatever the corpus.
     """
-    low = (F.shiftright("gram", 8).bitwiseAND(255)).alias("last") if depth else F.lit(0).alias("last")
-    keyed = counts.select("gram", "n", low)
+    shared = min(SHARED, depth)
+    mask = (1 << (8 * shared)) - 1
+    low = F.shiftright("gram", 8).bitwiseAND(mask)
+    size = counts.count()
+    if not size:
+        return counts.select("gram", F.lit(0.0).alias("bits")).limit(0)
+    groups = min(1 << (8 * shared), max(64, -(-size // group_grams)))
+    keyed = counts.select("gram", "n", F.pmod(F.xxhash64(low), F.lit(groups)).alias("part"))
 
-    def below(pdf: pd.DataFrame) -> pd.DataFrame:
-        level = _tree(pdf["gram"].to_numpy().astype(np.uint64), pdf["n"].to_numpy(float), depth, min(1, depth))[0]
-        return pd.DataFrame({"node": (level.key & np.uint64(255)).astype(np.int64), "w": level.weighted})
+    def deep(pdf: pd.DataFrame) -> tuple[np.ndarray, list[_Level]]:
+        gram = pdf["gram"].to_numpy().astype(np.uint64)
+        return gram, _tree(gram, pdf["n"].to_numpy(float), depth, shared)
 
-    root = counts.groupBy(F.col("gram").bitwiseAND(255).alias("byte")).agg(F.sum("n").alias("n")).toPandas().sort_values("byte")
-    if not len(root):
-        return counts.select("gram", F.lit(0.0).alias("bits")).limit(0)
-    level0 = _Level(root["byte"].to_numpy().astype(np.uint64), root["n"].to_numpy(float), 0)
-    if depth:
-        sums = keyed.groupBy("last").applyInPandas(below, "node long, w double").groupBy("node").agg(F.sort_array(F.collect_list("w")).alias("w")).toPandas()
-        product = np.zeros(256)
-        for node, w in zip(sums["node"], sums["w"]):
-            product[node] = float(np.sum(w))
-        level0.weighted = np.logaddexp(level0.kt, product[(level0.key & np.uint64(255)).astype(np.int64)]) - np.log(2)
-    nodes = (level0.key & np.uint64(255)).astype(np.int64)
-    own = np.zeros(256)
-    n0, n1 = np.zeros(256), np.zeros(256)
-    own[nodes], n0[nodes], n1[nodes] = np.exp(level0.kt - np.log(2) - level0.weighted), level0.n0, level0.n1
+    def below(pdf: pd.DataFrame) -> pd.DataFrame:
+        level = deep(pdf)[1][0]
+        parent = (level.key & np.uint64(255)) | (((level.key >> np.uint64(8)) & np.uint64(mask >> 8)) << np.uint64(8))
+        return pd.DataFrame({"node": parent.astype(np.int64), "w": level.weighted})
+
+    upper = None
+    if shared:
+        own = counts.groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n")).toPandas().sort_values("gram")
+        ends = own["gram"].to_numpy().astype(np.uint64)
+        levels = [_Level(ends, own["n"].to_numpy(float), d) for d in range(shared)]
+        sums = keyed.groupBy("part").applyInPandas(below, "node long, w double").groupBy("node").agg(F.sort_array(F.collect_list("w")).alias("w"))
+        sums = sums.select("node", F.aggregate("w", F.lit(0.0), lambda s, x: s + x).alias("w")).toPandas()
+        product = np.zeros(len(levels[-1].key))
+        product[np.searchsorted(levels[-1].key, sums["node"].to_numpy().astype(np.uint64))] = sums["w"].to_numpy()
+        levels[-1].weighted = np.logaddexp(levels[-1].kt, product) - np.log(2)
+        for d in range(shared - 2, -1, -1):
+            level, longer = levels[d], levels[d + 1]
+            parent = (longer.key & np.uint64(255)) | (((longer.key >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8))
+            level.weighted = np.logaddexp(level.kt, np.bincount(np.searchsorted(level.key, parent), longer.weighted, len(level.key))) - np.log(2)
+        # the mix over all depths is base + rest * (the mix over the longer contexts)
+        base, rest = np.zeros((8, len(ends))), np.ones((8, len(ends)))
+        for level in levels:
+            share = np.exp(level.kt - np.log(2) - level.weighted)
+            for j in range(8):
+                part = share[level.slot[j]]
+                base[j] += rest[j] * part * level.estimate(j)
+                rest[j] *= 1 - part
+        upper = counts.sparkSession.sparkContext.broadcast((ends, base, rest))
 
     def price(pdf: pd.DataFrame) -> pd.DataFrame:
-        gram = pdf["gram"].to_numpy().astype(np.uint64)
-        levels = _tree(gram, pdf["n"].to_numpy(float), depth, min(1, depth))
-        byte, bits = (gram & np.uint64(255)).astype(np.int64), np.zeros(len(gram))
+        gram, levels = deep(pdf)
+        bits = np.zeros(len(gram))
+        if upper is not None:
+            ends, base, rest = upper.value
+            at = np.searchsorted(ends, gram & np.uint64(mask))
         for j in range(8):
-            node, bit = (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
-            estimate = (np.where(bit > 0, n1[node], n0[node]) + 0.5) / (n0[node] + n1[node] + 1)
-            p = own[node] * estimate + (1 - own[node]) * _mix(levels, j) if depth else estimate
-            bits -= np.log2(p)
+            p = _mix(levels, j)
+            bits -= np.log2(p if upper is None else base[j][at] + rest[j][at] * p)
         return pd.DataFrame({"gram": pdf["gram"], "bits": bits})
 
-    return keyed.groupBy("last").applyInPandas(price, "gram long, bits double")
+    return keyed.groupBy("part").applyInPandas(price, "gram long, bits double")
 
 
 _tables: dict[str, tuple[Lookup, np.ndarray]] = {}
 
 
-def _score_pass(docs: DataFrame, table: pd.DataFrame, depth: int) -> DataFrame:
+def _collected(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams and bits of a table, a task's rows at a time, so that the driver holds them once."""
+    keys, bits = [], []
+    for rows in table.select(F.struct("gram", "bits").alias("r")).mapInArrow(_packed, "gram binary, bits binary").toLocalIterator():
+        keys.append(np.frombuffer(rows.gram, np.int64))
+        bits.append(np.frombuffer(rows.bits, np.float64))
+    return np.concatenate(keys or [np.zeros(0, np.int64)]), np.concatenate(bits or [np.zeros(0)])
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        gram, bits = batch.column(0).flatten()
+        yield pa.RecordBatch.from_arrays([pa.array([gram.to_numpy().tobytes()]), pa.array([bits.to_numpy().tobytes()])], names=["gram", "bits"])
+
+
+def _score_pass(docs: DataFrame, table: DataFrame, depth: int) -> DataFrame:
     """(doc_id, n_bytes, bits) by the grams of ``table``; grams that it lacks add nothing."""
-    shared = docs.sparkSession.sparkContext.broadcast((table["gram"].to_numpy(), table["bits"].to_numpy()))
+    shared = docs.sparkSession.sparkContext.broadcast(_collected(table))
     name = uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,13 +262,14 @@ def score_texts(docs: DataFrame, corpus: DataFrame | None = None, depth: int = D
     table = written(code_lengths(counts, depth), "ctw-bits")
     parts = max(1, -(-table.count() // pass_grams))
     if parts == 1:
-        sums = _score_pass(docs, table.orderBy("gram").toPandas(), depth)
+        sums = _score_pass(docs, table, depth)
     else:
         part = F.pmod(F.xxhash64("gram"), F.lit(parts))
         keyed = docs.withColumn("doc_id", F.struct(docs["doc_id"].cast("long").alias("id"), F.monotonically_increasing_id().alias("row")))
         keyed = written(keyed.select("doc_id", "text"), "ctw-rows")
         numbered = keyed.select(F.col("doc_id.row").alias("doc_id"), "text")
-        passes = [_score_pass(numbered, table.where(part == k).toPandas(), depth) for k in range(parts)]
+        # each pass is written before the next one's grams come to the driver
+        passes = [written(_score_pass(numbered, table.where(part == k), depth), "ctw-pass") for k in range(parts)]
         sums = passes[0]
         for p in passes[1:]:
             sums = sums.unionByName(p)

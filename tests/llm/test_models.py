@@ -159,6 +159,23 @@ def test_ctw_equals_the_recursive_definition(spark, depth):
     assert got[3].bits_per_byte is None
 
 
+@pytest.mark.parametrize("depth", [2, 6])
+def test_ctw_of_long_contexts_equals_the_recursive_definition(spark, depth):
+    texts = ["abracadabra", "abra cadabra abra", "cadabré", "", "abracadabra abracadabra"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = tree_bits([t.encode() for t in texts], depth)
+    got = {r.doc_id: r.bits for r in ctw.score_texts(docs, depth=depth, pass_grams=30).collect()}
+    for i, t in enumerate(texts):
+        b = t.encode()
+        assert got[i] == pytest.approx(sum(want[(b"\0" * depth + b[:k])[-depth:], b[k]] for k in range(len(b))), abs=1e-5)
+
+
+def test_ctw_tells_bytes_apart_by_six_before(spark):
+    texts = ["xabcdey"] * 50 + ["zabcdew"] * 50 + ["xabcdew"]
+    got = [r.bits for r in ctw.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[100] > got[0] + 3  # 4-grams say y or w alike
+
+
 def test_ctw_in_several_passes_and_on_another_corpus(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     once = {r.doc_id: r.bits for r in ctw.score_texts(docs).collect()}
