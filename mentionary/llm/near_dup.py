@@ -1,17 +1,21 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-A document is its set of word n-grams. Its signature is cut into trees; in each tree
-the signatures form a sorted prefix trie. Matching starts from the longest prefixes
-and shortens them until pairs at the threshold share a prefix in some tree with at
-least the target probability; the trie nodes of that depth are the buckets. Texts
-with the same set are one class from the start, so thousands of copies cost one
-member. A pair is looked at in the first tree that brings it together, compared by
-whole signatures, and then verified on the sets themselves.
+A document is its set of word n-grams; documents with equal sets are one class from the
+start, so thousands of copies cost one member. A class's signature of min-hashes is read
+once for each tree, from another place on, and these readings form the tree's prefix
+trie: sorted, the signatures below a trie node are neighbours. Matching starts with the
+longest prefixes and shortens them, each time looking only at the pairs that this adds,
+until the recall reaches its target at every similarity that the pairs found so far
+have. It can't become shorter than the length at which any pair at the threshold is
+found with that probability. Pairs are compared by whole signatures, and those that are
+near enough are verified on the sets themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,24 +23,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .buffers import WORD, lower, mix, pieces, prefix_hash, runs, span_hash
+from .buffers import WORD, lower, mix, pieces, prefix_hash, ragged, runs, span_hash
 from .scratch import text_pass, written
 
 THRESHOLD, NGRAM, TREES, RECALL = 0.6, 3, 24, 0.95
+#: Prefixes that are tried, as far as they are longer than the shortest one.
+PREFIXES = (16, 12, 8, 6, 5)
 #: Signatures may differ from the threshold by this much (four standard deviations) before the sets are compared.
 SLACK = 0.2
+#: Members of a trie node that are compared in one task; a larger node is cut into blocks of about so many, and each pair of blocks is a cell.
+BLOCK = 250
+#: Pairs whose signatures are compared at once.
+PAIRS = 50_000
 #: Ids that may be broadcast as a filter (8 bytes each); more ids are joined.
 BROADCAST_IDS = 4_000_000
 
 
-def forest_depth(threshold: float, trees: int, recall: float, longest: int = 16) -> int:
-    """The longest prefix at which a pair at the threshold shares one in some tree with probability ``recall`` or more."""
+def shortest_prefix(threshold: float, trees: int, recall: float, longest: int = 16) -> int:
+    """The longest prefix at which every pair at the threshold shares one in some tree with probability ``recall`` or more."""
     for depth in range(longest, 0, -1):
         if 1 - (1 - threshold**depth) ** trees >= recall:
             return depth
     raise ValueError("more trees are needed for this threshold and recall")
 
 
+@lru_cache(maxsize=64)
+def recall_at(depth: int, step: int, trees: int, samples: int = 2000) -> np.ndarray:
+    """The probability that a pair shares a prefix of ``depth`` in some tree, by the share of equal min-hashes in steps of 1 / (trees * step).
+
+    Prefixes longer than ``step`` run into the next tree's; their recall is counted on random signatures.
+    """
+    k = trees * step
+    s = np.arange(k + 1) / k
+    if depth <= step:
+        return 1 - (1 - s**depth) ** trees
+    u = np.random.default_rng(7).random((samples, k))
+    return np.array([_shared(u < x, depth, step).any(1).mean() for x in s])
+
+
+def _shared(equal: np.ndarray, depth: int, step: int) -> np.ndarray:
+    """Whether the first ``depth`` values of each tree are equal, from rows of equal values; trees start ``step`` values apart and go round."""
+    n = np.cumsum(np.concatenate([np.zeros((len(equal), 1), bool), equal, equal[:, : depth - 1]], 1), 1, dtype=np.int16)
+    at = np.arange(0, equal.shape[1], step)
+    return n[:, at + depth] - n[:, at] == depth
+
+
 def shingle_hashes(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, offsets, hashes) of the word n-grams of each text; a shorter text is one n-gram of all its words."""
     for lo, hi, buf, off in pieces(column, prepare=lower):
@@ -74,79 +105,162 @@ def minhash(off: np.ndarray, hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """(doc_id, size, s1, s2, sig): number and two sums of the distinct n-grams, and the min-hashes."""
+    """(doc_id, s1, s2, size, sig): two sums over the distinct n-grams and their number, which tell sets apart, and the min-hashes.
+
+    Of an id that comes with several texts the one with the least sums counts. Texts
+    without words are left out.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, off, hashes in shingle_hashes(batch.column(1), n):
-                sums, size = np.zeros((hi - lo, 2), np.uint64), np.zeros(hi - lo, np.int32)
+                sums, size = np.zeros((hi - lo, 2), np.int64), np.zeros(hi - lo, np.int32)
                 for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
                     if b > a:
-                        distinct = np.unique(hashes[a:b])
-                        size[i] = len(distinct)
-                        sums[i] = distinct.sum(), mix(distinct).sum()
+                        size[i], *sums[i] = set_sums(np.unique(hashes[a:b]))
                 sig = minhash(off, hashes, k)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary())],
-                    names=["doc_id", "size", "s1", "s2", "sig"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(size), pa.array([r.tobytes() for r in sig], pa.binary())],
+                    names=["doc_id", "s1", "s2", "size", "sig"],
                 )
 
-    return text_pass(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id is not null"), run, "doc_id long, size int, s1 long, s2 long, sig binary")
-
-
-def set_classes(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """(rep, members, size, sig): documents with the same set of n-grams, under the smallest id. Texts without words are in none."""
-    return signatures(docs, n, k).where("size > 0").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("members"), F.first("sig").alias("sig")).select("rep", "members", "size", "sig")
-
-
-def _pairs_of_bucket(reps: np.ndarray, size: np.ndarray, sig: np.ndarray, tree: int, depth: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(a, bs), as positions in the bucket: pairs whose first common prefix is in this tree and whose signatures are near enough."""
-    k = sig.shape[1]
-    least = (threshold - SLACK) * k
-    for a in range(len(reps) - 1):
-        same = sig[a + 1 :] == sig[a]
-        ok = same.sum(1) >= least
-        ok &= np.minimum(size[a], size[a + 1 :]) >= threshold * np.maximum(size[a], size[a + 1 :])
-        if tree and ok.any():
-            at = np.flatnonzero(ok)
-            ok[at] = ~same[at, : tree * depth].reshape(len(at), tree, depth).all(2).any(1)
-        at = np.flatnonzero(ok)
-        if len(at):
-            yield a, a + 1 + at
-
-
-def candidates(classes: DataFrame, threshold: float, trees: int, depth: int) -> DataFrame:
-    """(bucket, rep, partners): for each bucket, the representatives in its pairs, each pair listed with its smaller id.
-
-    Buckets with the same members in several trees are looked at in the first of them.
-    """
-    prefixes = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 2 * depth * t + 1, 2 * depth)) for t in range(trees)])
-    placed = classes.select("rep", F.posexplode(prefixes).alias("tree", "bucket"))
-    crowds = placed.groupBy("bucket").agg(F.min("tree").alias("tree"), F.sort_array(F.collect_list("rep")).alias("reps")).where("size(reps) > 1")
-    crowds = crowds.groupBy(F.xxhash64("reps").alias("h"), F.crc32(F.to_json("reps")).alias("c")).agg(F.min(F.struct("tree", "bucket")).alias("first"), F.first("reps").alias("reps"))
-    rows = crowds.select("first.tree", "first.bucket", F.explode("reps").alias("rep")).join(classes.select("rep", "size", "sig"), "rep")
-    buckets = rows.groupBy("bucket", "tree").agg(F.sort_array(F.collect_list(F.struct("rep", "size", "sig"))).alias("m"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int64()), ("rep", pa.int64()), ("partners", pa.list_(pa.int64()))])
-        for batch in batches:
-            out: list[tuple] = []
-            off = np.asarray(batch.column(2).offsets)
-            flat = batch.column(2).values
-            reps, sizes, sig = (flat.field(i) for i in range(3))
-            reps, sizes = np.asarray(reps), np.asarray(sizes)
-            width = 2 * trees * depth
-            sig = np.frombuffer(b"".join(sig.slice(off[0], off[-1] - off[0]).to_pylist()), np.uint16).reshape(-1, width // 2)
-            for bucket, tree, lo, hi in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), off[:-1], off[1:]):
-                r, involved, found = reps[lo:hi], set(), {}
-                for a, bs in _pairs_of_bucket(r, sizes[lo:hi], sig[lo - off[0] : hi - off[0]], tree, depth, threshold):
-                    found[a] = r[bs].tolist()
-                    involved.add(a)
-                    involved.update(bs.tolist())
-                out.extend((bucket, int(r[a]), found.get(a, [])) for a in sorted(involved))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t.type) for i, t in enumerate(schema)], schema=schema)
-
-    return text_pass(buckets.select("bucket", "tree", "m"), run, "bucket long, rep long, partners array<long>")
+    rows = text_pass(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id is not null"), run, "doc_id long, s1 long, s2 long, size int, sig binary")
+    return rows.where("size > 0").groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "size", "sig")).alias("x")).select("doc_id", "x.*")
+
+
+def set_sums(distinct: np.ndarray) -> tuple[int, int, int]:
+    """Size and two sums of a set of hashes."""
+    return len(distinct), int(distinct.sum().astype(np.int64)), int(mix(distinct).sum().astype(np.int64))
+
+
+def set_classes(found: DataFrame) -> DataFrame:
+    """(rep, copies, s1, s2, size, sig): signatures of the documents with the same set, their smallest id and their number."""
+    return found.groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+
+
+@dataclass(frozen=True)
+class Forest:
+    """The shape of the tries: ``trees`` readings of a signature, ``step`` values apart; prefixes of ``step`` values are the shortest."""
+
+    trees: int
+    step: int
+    threshold: float
+    recall: float
+
+    @property
+    def width(self) -> int:
+        return self.trees * self.step
+
+    def prefixes(self) -> list[int]:
+        return [p for p in PREFIXES if self.step < p <= self.width] + [self.step]
+
+    def enough(self, depth: int, found: np.ndarray) -> bool:
+        """Whether prefixes of ``depth`` have the target recall wherever pairs were ``found``, which counts them by equal min-hashes."""
+        least = np.flatnonzero(found[int(np.ceil(self.threshold * self.width)) :])
+        return bool(len(least)) and recall_at(depth, self.step, self.trees)[int(np.ceil(self.threshold * self.width)) + least[0]] >= self.recall
+
+    def cells(self, classes: DataFrame, block: int = BLOCK) -> DataFrame:
+        """(cell, tree, members): the trie nodes at the shortest prefix that have two members or more, cut into blocks.
+
+        Nodes are counted before anything is gathered, and a cell has two blocks at most.
+        """
+        heads = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 2 * self.step * t + 1, 2 * self.step)) for t in range(self.trees)])
+        placed = classes.select("rep", F.posexplode(heads).alias("tree", "node"))
+        crowds = placed.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        rows = placed.join(crowds, "node").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        rows = rows.select("rep", "tree", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        rows = rows.select("rep", "tree", "own", (low < high).alias("cross"), F.xxhash64("node", low, high).alias("cell"))
+        rows = rows.join(classes.select("rep", "size", "sig"), "rep")
+        return rows.groupBy("cell", "tree", "cross").agg(F.collect_list(F.struct("rep", "own", "size", "sig")).alias("m")).where("size(m) > 1")
+
+    def pairs(self, cell: np.ndarray, tree: np.ndarray, cross: np.ndarray, own: np.ndarray, size: np.ndarray, sig: np.ndarray, depth: int, longer: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(a, b, equal min-hashes), a and b as positions in the rows: pairs of a cell that prefixes of ``depth`` add to those of ``longer``.
+
+        Each pair comes once in all cells and lengths: in the first tree of the longest prefix.
+        """
+        n, k = sig.shape
+        if n < 2:
+            return
+        turned = sig[np.arange(n)[:, None], (tree[:, None] * self.step + np.arange(k)[None, :]) % k]
+        place = np.unique(cell, return_inverse=True)[1].astype(">u4")
+        words = np.concatenate([place[:, None].view(np.uint8).reshape(n, 4), turned[:, : longer or depth].astype(">u2").view(np.uint8).reshape(n, -1)], 1)
+        order = np.argsort(np.ascontiguousarray(words).view(f"S{words.shape[1]}").ravel(), kind="stable")
+        words = words[order]
+
+        def ends(width: int) -> np.ndarray:
+            """For each row the end of the rows that begin with the same ``width`` bytes."""
+            last = np.flatnonzero(np.append((words[1:, :width] != words[:-1, :width]).any(1), True)) + 1
+            return np.repeat(last, np.diff(np.concatenate([[0], last])))
+
+        hi = ends(4 + 2 * depth)
+        lo = ends(4 + 2 * longer) if longer else np.arange(1, n + 1)
+        count = hi - lo
+        least = (self.threshold - SLACK) * k
+        cuts = np.searchsorted(np.cumsum(count), np.arange(PAIRS, int(count.sum()) + PAIRS, PAIRS))
+        begin = 0
+        for end in [*np.unique(cuts + 1).tolist(), n]:
+            end = min(end, n)
+            if end <= begin:
+                continue
+            part = slice(begin, end)
+            begin = end
+            first, second = np.repeat(np.arange(part.start, part.stop), count[part]), ragged(lo[part], count[part])
+            for s in range(0, len(first), PAIRS):
+                a, b = order[first[s : s + PAIRS]], order[second[s : s + PAIRS]]
+                ok = np.minimum(size[a], size[b]) >= self.threshold * np.maximum(size[a], size[b])
+                ok &= ~cross[a] | (own[a] != own[b])
+                a, b = a[ok], b[ok]
+                equal = turned[a] == turned[b]
+                agree = equal.sum(1)
+                ok = agree >= least
+                a, b, equal, agree = a[ok], b[ok], equal[ok], agree[ok]
+                if longer and len(a):
+                    ok = ~_shared(equal, longer, self.step).any(1)
+                    a, b, equal, agree = a[ok], b[ok], equal[ok], agree[ok]
+                if len(a):
+                    of = (tree[a][:, None] + np.arange(self.trees)[None, :]) % self.trees
+                    ok = ~(_shared(equal, depth, self.step) & (of < tree[a][:, None])).any(1)
+                    yield a[ok], b[ok], agree[ok]
+
+    def level(self, cells: DataFrame, depth: int, longer: int | None) -> DataFrame:
+        """(cell, tree, cross, rep, own) of the members in the pairs that ``depth`` adds, and rows (agree, n) that count the pairs by equal min-hashes."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            schema = pa.schema([("cell", pa.int64()), ("tree", pa.int32()), ("cross", pa.bool_()), ("rep", pa.int64()), ("own", pa.int32()), ("agree", pa.int32()), ("n", pa.int64())])
+            for batch in batches:
+                lists = batch.column(3)
+                sizes = np.diff(np.asarray(lists.offsets))
+                rep, own, size, sig = lists.flatten().flatten()
+                rep, own, size = (np.asarray(x) for x in (rep, own, size))
+                sig = np.frombuffer(b"".join(sig.to_pylist()), np.uint16).reshape(-1, self.width)
+                at = np.repeat(np.arange(len(batch)), sizes)
+                tree, cross = (batch.column(i).to_numpy(zero_copy_only=False)[at] for i in (1, 2))
+                seen, found = np.zeros(len(rep), bool), np.zeros(self.width + 1, np.int64)
+                for a, b, agree in self.pairs(at, tree, cross, own, size, sig, depth, longer):
+                    seen[a] = seen[b] = True
+                    found += np.bincount(agree, minlength=self.width + 1)
+                at, kinds = at[seen], np.flatnonzero(found)
+                members = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at)), pa.array(rep[seen]), pa.array(own[seen])]
+                yield pa.RecordBatch.from_arrays([*members, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(kinds), schema.field(i).type) for i in range(5)), pa.array(kinds, pa.int32()), pa.array(found[kinds])], schema=schema)
+
+        return text_pass(cells.select("cell", "tree", "cross", "m"), run, "cell long, tree int, cross boolean, rep long, own int, agree int, n long")
+
+    def walk(self, classes: DataFrame) -> DataFrame:
+        """(depth, longer, cell, tree, cross, rep, own): members of pairs, with the prefix length (and the longer one before it) at which they were found."""
+        cells = written(self.cells(classes), "near-cells")
+        found, out, longer = np.zeros(self.width + 1, np.int64), None, None
+        for depth in self.prefixes():
+            rows = written(self.level(cells, depth, longer), "near-level")
+            for r in rows.where("n is not null").groupBy("agree").agg(F.sum("n").alias("n")).collect():  # at most one row a number of equal min-hashes
+                found[r.agree] += r.n
+            members = rows.where("n is null").select(F.lit(depth).alias("depth"), F.lit(longer or 0).alias("longer"), "cell", "tree", "cross", "rep", "own")
+            out = members if out is None else out.unionByName(members)
+            longer = depth
+            if self.enough(depth, found):
+                break
+        return out
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, inside: bool, limit: int = BROADCAST_IDS, must: bool = True) -> DataFrame:
@@ -186,90 +300,121 @@ def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for _, _, off, h in shingle_hashes(texts, n) for a, b in zip(off[:-1], off[1:])]
 
 
-def verified(docs: DataFrame, found: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of the candidates whose sets reach the threshold.
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    common = int(np.count_nonzero(large[at] == small))
+    return common / (len(x) + len(y) - common)
+
+
+def verified(docs: DataFrame, classes: DataFrame, members: DataFrame, forest: Forest, n: int, pairs: bool = False) -> DataFrame:
+    """What the sets say of the forest's pairs, cell by cell: (rep, root, links), a row for each member with a link, or all (doc_a, doc_b, jaccard).
 
-    Texts travel to their buckets once each, and are shingled there; a bucket's texts are
-    held together only as sets of hashes.
+    ``links`` counts the documents that a member's partners stand for; members that pairs
+    of the cell connect have one ``root``. Texts travel to their cells once each, and are
+    held together only as sets of hashes, of two blocks at most.
     """
-    found = written(found, "near-candidates")
-    texts = with_ids(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), found.select("rep"), True, must=False)
-    rows = found.join(texts.withColumnRenamed("doc_id", "rep"), "rep").where("text is not null")
-    rows = rows.select("bucket", "rep", "partners", "text").repartition("bucket").sortWithinPartitions("bucket", "rep")
-
-    def compare(members: dict[int, tuple[np.ndarray, set[int]]], out: list[tuple]) -> None:
-        for a, (x, partners) in members.items():
-            for b in partners:
-                y = members[b][0]
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if len(small) < threshold * len(large):
+    texts = with_ids(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), members.select("rep"), True, must=False)
+    rows = members.join(texts.where("text is not null").withColumnRenamed("doc_id", "rep").join(classes, "rep"), "rep")
+    rows = rows.repartition("cell", "depth").sortWithinPartitions("cell", "depth", "rep").select("cell", "depth", "longer", "tree", "cross", "own", "rep", "copies", "s1", "s2", "size", "sig", "text")
+    schema = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())] if pairs else [("rep", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+
+    def compare(rows: list[tuple]) -> Iterator[tuple]:
+        """Rows of the whole cells in ``rows``, which share a prefix length."""
+        if len(rows) < 2:
+            return
+        cell, tree, cross, own, rep, copies, sig, sets = ([r[i] for r in rows] for i in range(8))
+        sig = np.frombuffer(b"".join(sig), np.uint16).reshape(-1, forest.width)
+        size = np.array([len(x) for x in sets])
+        links, root = dict.fromkeys(range(len(rows)), 0), list(range(len(rows)))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        arrays = np.array(cell), np.array(tree), np.array(cross), np.array(own)
+        for xs, ys, _ in forest.pairs(*arrays, size, sig, rows[0][8], rows[0][9] or None):
+            for x, y in zip(xs.tolist(), ys.tolist()):
+                j = _jaccard(sets[x], sets[y])
+                if j < forest.threshold:
                     continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                common = int(np.count_nonzero(large[at] == small))
-                j = common / (len(x) + len(y) - common)
-                if j >= threshold:
-                    out.append((a, b, j))
+                if pairs:
+                    yield min(rep[x], rep[y]), max(rep[x], rep[y]), j
+                    continue
+                links[x] += copies[y]
+                links[y] += copies[x]
+                a, b = top(x), top(y)
+                root[max(a, b)] = min(a, b)
+        if not pairs:
+            yield from ((rep[i], rep[top(i)], k) for i, k in links.items() if k)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, members, out = None, {}, []
-        made = lambda: pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["doc_a", "doc_b", "jaccard"])  # noqa: B023, E731
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+        held: list[tuple] = []
+        weight = 0
         for batch in batches:
-            sets, partners = _sets(batch.column(3), n), batch.column(2)
-            for i, (now, rep) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if now != bucket:
-                    compare(members, out)
-                    bucket, members = now, {}
-                    if len(out) > 50_000:
-                        yield made()
-                        out = []
-                if rep not in members:  # a repeated id: its texts count as one document, the first one's
-                    members[rep] = sets[i], set(partners[i].as_py())
-        compare(members, out)
-        yield made()
+            sets = _sets(batch.column(12), n)
+            cell, depth, longer, tree, cross, own, rep, copies, s1, s2, size, sig = (batch.column(i).to_pylist() for i in range(12))
+            for i, x in enumerate(sets):
+                if set_sums(x) != (size[i], s1[i], s2[i]) or held and (held[-1][0], held[-1][8], held[-1][4]) == (cell[i], depth[i], rep[i]):
+                    continue  # another text of the id, or its text again
+                if held and (held[-1][8] != depth[i] or weight > 2_000_000 and held[-1][0] != cell[i]):
+                    yield made(list(compare(held)))
+                    held, weight = [], 0
+                held.append((cell[i], tree[i], cross[i], own[i], rep[i], copies[i], sig[i], x, depth[i], longer[i]))
+                weight += len(x)
+        yield made(list(compare(held)))
 
-    return text_pass(rows, run, "doc_a long, doc_b long, jaccard double")
+    return text_pass(rows, run, "doc_a long, doc_b long, jaccard double" if pairs else "rep long, root long, links long")
 
 
-def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs): written tables of the set classes and of the verified pairs of their representatives."""
-    depth = forest_depth(threshold, trees, recall)
-    classes = written(set_classes(docs, n, trees * depth), "near-classes")
-    return classes, written(verified(docs, candidates(classes, threshold, trees, depth), n, threshold), "near-pairs")
+def _found(docs: DataFrame, threshold: float, n: int, trees: int, recall: float) -> tuple[Forest, DataFrame, DataFrame]:
+    """The forest, and written tables of the signatures and of the classes."""
+    forest = Forest(trees, shortest_prefix(threshold, trees, recall), threshold, recall)
+    own = written(signatures(docs, n, forest.width), "near-signatures")
+    return forest, own, written(set_classes(own), "near-classes")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """All pairs of documents whose sets of word n-grams have a Jaccard index of ``threshold`` or more.
-
-    Rows are (doc_a, doc_b, jaccard, copies_a, copies_b): every document of copies_a
-    forms a pair with every other one of copies_b. Documents with equal sets are listed
-    together; a class of them that isn't alone also has a row of its own, with jaccard 1
-    and itself on both sides. doc_a < doc_b are the smallest ids. Every document is a
-    query, with no cap on partners. Null texts, texts without a word and rows with a null
-    id have no partner; repeated rows of one id are one document; an empty table gives no
+    """A row for each document that has a partner, another one with a Jaccard index of word n-grams of ``threshold`` or more: (doc_id, class_id, copies, links).
+
+    ``links`` is the number of its partners, ``copies`` how many of them have its very
+    set; ``class_id`` is the smallest doc_id of all documents that links connect it with.
+    Links between different sets are found with probability ``recall`` or more each and
+    verified exactly; those of equal sets are all found. Every document is a query, with
+    no cap on partners. ``near_pairs`` gives the pairs themselves. Null texts, texts
+    without a word and rows with a null id have no partner; rows that repeat an id are
+    one document (of different texts that with the least hash); an empty table gives no
     rows; texts are read whole; other columns are not read.
     """
-    classes, pairs = near_pairs(docs, threshold, n, trees, recall)
-    many = classes.where("size(members) > 1").select("rep", "members")
-    for side in ("a", "b"):
-        pairs = pairs.join(many.withColumnsRenamed({"rep": f"doc_{side}", "members": f"copies_{side}"}), f"doc_{side}", "left").withColumn(f"copies_{side}", F.coalesce(f"copies_{side}", F.array(f"doc_{side}")))
-    same = many.select(F.col("rep").alias("doc_a"), F.col("members")[1].alias("doc_b"), F.lit(1.0).alias("jaccard"), F.col("members").alias("copies_a"), F.col("members").alias("copies_b"))
-    return pairs.select("doc_a", "doc_b", F.round("jaccard", 9).alias("jaccard"), "copies_a", "copies_b").unionByName(same)
+    forest, own, classes = _found(docs, threshold, n, trees, recall)
+    links = written(verified(docs, classes, forest.walk(classes), forest, n), "near-links")
+    groups = connected_components(links.where("rep <> root"), "rep", "root").select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
+    sums = links.groupBy("rep").agg(F.sum("links").alias("links"))
+    linked = classes.select("rep", "copies", "s1", "s2", "size").join(sums, "rep", "left").join(groups, "rep", "left")
+    linked = linked.select("s1", "s2", "size", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1).alias("copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")).where("links > 0")
+    return own.select("doc_id", "s1", "s2", "size").join(linked, ["s1", "s2", "size"]).select("doc_id", "class_id", "copies", "links")
+
 
+def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+    """(doc_a, doc_b, jaccard), a < b: each document with the smallest id of those with its set, and the pairs of these smallest ids that reach the threshold.
 
-def expand_pairs(joined: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of single documents, a < b: as many rows as there are pairs."""
-    flat = joined.select(F.explode("copies_a").alias("x"), "copies_b", "jaccard").select("x", F.explode("copies_b").alias("y"), "jaccard").where("x <> y")
-    return flat.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard").distinct()
+    Linear in the number of copies, but not in that of near copies. Nulls, repeats and
+    empty tables are as in ``jaccard_join``.
+    """
+    forest, own, classes = _found(docs, threshold, n, trees, recall)
+    near = verified(docs, classes, forest.walk(classes), forest, n, pairs=True)
+    same = own.join(classes.where("copies > 1").select("s1", "s2", "size", "rep"), ["s1", "s2", "size"]).where("doc_id > rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return near.unionByName(same)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """``docs`` with the smallest id of each group of near copies (connected through pairs), all columns as they were.
+    """``docs`` with the smallest id of each group of near copies (connected through links), all columns as they were.
 
-    Documents without words or with a null id stay; rows that repeat an id share its fate.
+    Null and empty texts, documents without words and rows with a null id stay; rows that
+    repeat an id share its fate; an empty table stays empty.
     """
-    classes, pairs = near_pairs(docs, threshold, n, trees, recall)
-    groups = connected_components(pairs, "doc_a", "doc_b")
-    copies = classes.select(F.explode(F.slice("members", 2, F.size("members"))).alias("gone")).where("gone is not null")
-    others = groups.where("node <> component").select(F.col("node").alias("gone"))
-    return with_ids(docs, copies.unionByName(others), False)
+    joined = jaccard_join(docs, threshold, n, trees, recall)
+    return with_ids(docs, joined.where("doc_id <> class_id").select(F.col("doc_id").alias("gone")), False)
