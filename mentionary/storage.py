@@ -6,6 +6,7 @@ A query that cuts its lineage writes a Parquet table below the folder named in
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,7 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; where none is set (as in tests), a new folder that is then set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="mentionary-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -31,20 +32,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Steps of a plan after which partitions aren't a scan's any more.
-_SHUFFLES = ("Join", "Aggregate", "Repartition", "Rebalance", "Sort", "Window", "Distinct", "Deduplicate", "InMemory", "InArrow", "InPandas", "Union", "Limit")
+#: Bytes of a table for each core under which it is small: moving it costs little beside work on its texts.
+SMALL = 16 << 20
+
+
+def scanned(df: DataFrame) -> bool:
+    """Whether the rows come straight from files: columns and conditions on one scan, nothing that shuffles."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter") and node.children().length() == 1:
+        node = node.children().head()
+    return not df.isStreaming and node.nodeName().startswith(("LogicalRelation", "Relation")) and node.children().isEmpty()
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, over all cores where its files are fewer than these.
+    """``df``, over all cores where a small table's files are fewer than these.
 
     Work on texts costs far more than moving them; a table in one small file would leave
-    all but one core idle. A table with enough partitions is left as it is, unshuffled.
+    all but one core idle. A table of more than ``SMALL`` bytes a core is never shuffled
+    for this, and what doesn't come straight from files is left as it is.
     """
-    if df.isStreaming or any(step in df._jdf.queryExecution().optimizedPlan().toString() for step in _SHUFFLES):
+    if not scanned(df):
         return df  # its partitions aren't those of files, and to count them would be to run it
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df if size > SMALL * cores or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def clear(spark: SparkSession) -> None:
