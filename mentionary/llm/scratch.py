@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import clear, shared_folder, spread, written
+from ..storage import clear, scanned, shared_folder, spread, written
 
-__all__ = ["clear", "first_by_hash", "shared_folder", "text_pass", "written"]
+__all__ = ["clear", "first_by_hash", "scanned", "shared_folder", "text_pass", "written"]
 
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -24,12 +24,13 @@ def _release() -> None:
         trim(0)
 
 
-def text_pass(df: DataFrame, run: Callable, schema, rows: int = 1000) -> DataFrame:
+def text_pass(df: DataFrame, run: Callable, schema, rows: int = 1000, whole: bool = False) -> DataFrame:
     """``df.mapInArrow(run, schema)`` in batches of ``rows`` rows, by workers that keep no memory after a task, on all cores.
 
     Spark's default of 10,000 rows is meant for numbers; that many documents, with the
     copies that a pass makes, would take hundreds of megabytes of each Python worker.
     Where the session has the default it is lowered; another setting is left as it is.
+    ``whole`` keeps the partitions, and with them the order of the rows, as they are.
     """
     if df.sparkSession.conf.get(_ROWS) == "10000":
         df.sparkSession.conf.set(_ROWS, str(rows))
@@ -40,7 +41,7 @@ def text_pass(df: DataFrame, run: Callable, schema, rows: int = 1000) -> DataFra
         finally:
             _release()
 
-    return spread(df).mapInArrow(task, schema)
+    return (df if whole else spread(df)).mapInArrow(task, schema)
 
 
 def first_by_hash(df: DataFrame, id_col: str, n: int) -> DataFrame:

@@ -164,7 +164,7 @@ def test_ctw_of_long_contexts_equals_the_recursive_definition(spark, depth):
     texts = ["abracadabra", "abra cadabra abra", "cadabré", "", "abracadabra abracadabra"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = tree_bits([t.encode() for t in texts], depth)
-    got = {r.doc_id: r.bits for r in ctw.score_texts(docs, depth=depth, pass_grams=30).collect()}
+    got = {r.doc_id: r.bits for r in ctw.score_texts(docs, depth=depth, chunk_bytes=20).collect()}
     for i, t in enumerate(texts):
         b = t.encode()
         assert got[i] == pytest.approx(sum(want[(b"\0" * depth + b[:k])[-depth:], b[k]] for k in range(len(b))), abs=1e-5)
@@ -176,10 +176,10 @@ def test_ctw_tells_bytes_apart_by_six_before(spark):
     assert got[100] > got[0] + 3  # 4-grams say y or w alike
 
 
-def test_ctw_in_several_passes_and_on_another_corpus(spark, sf):
+def test_ctw_in_small_chunks_and_on_another_corpus(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     once = {r.doc_id: r.bits for r in ctw.score_texts(docs).collect()}
-    many = {r.doc_id: r.bits for r in ctw.score_texts(docs, pass_grams=20_000).collect()}
+    many = {r.doc_id: r.bits for r in ctw.score_texts(docs, chunk_bytes=20_000).collect()}
     assert once.keys() == many.keys() and all(abs(once[k] - many[k]) < 1e-4 for k in once)
     other = spark.createDataFrame([(1, "zzqqj 漢字"), (2, None)], "doc_id long, text string")
     odd = {r.doc_id: r.bits_per_byte for r in ctw.score_texts(other, docs).collect()}
