@@ -7,17 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import admissible_word, tokens
-from ..storage import spread
+from ..storage import spread, written
 
 
 def numbered(df: DataFrame, key: str | list[str], name: str) -> DataFrame:
     """A 0-based position in the order of ``key`` (one or several columns) over the whole table, without one task that sorts it all.
 
     Rows are range-partitioned by the key and sorted there; each partition's first number
-    is the number of rows before it, which is all the driver sees.
+    is the number of rows before it. The ranged rows are written once, so that all that
+    follows sees the same ranges.
     """
     keys = [key] if isinstance(key, str) else key
-    ranged = df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    ranged = written(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "numbered")
     ranged = ranged.withColumn("__in", F.row_number().over(W.partitionBy("__part").orderBy(*keys)) - 1)
     before = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min(F.struct(*keys)).alias("__least"))
     start = before.withColumn("__start", F.coalesce(F.sum("__n").over(W.orderBy("__least").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__part", "__start")
@@ -86,13 +87,14 @@ def form_weights(targets: DataFrame, phrase_frequency: DataFrame) -> DataFrame:
     return targets.groupBy("form").agg(F.sum("n").alias("links")).join(phrase_frequency.select(F.col("phrase").alias("form"), F.col("n").alias("docs")), "form").select("form", (F.col("links") / F.col("docs")).alias("weight"))
 
 
-def phrase_document_frequency(docs: DataFrame, longest: int, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut=tokens) -> DataFrame:
-    """(phrase, n): documents that hold each of the ``phrases`` of up to ``longest`` words.
+def phrase_document_frequency(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut=tokens) -> DataFrame:
+    """(phrase, n): documents that hold each of the ``phrases``, of as many words as these have.
 
     Candidate n-grams are made distinct inside the row, before they meet the phrases.
     """
     own = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc"), cut(text_col).alias("w"))
-    grams = [ngrams("w", k) for k in range(1, longest + 1)]
+    sizes = sorted(r[0] for r in phrases.select(F.size(F.split("phrase", " "))).distinct().collect())  # lengths that occur, a handful
+    grams = [ngrams("w", k) for k in sizes] or [F.array().cast("array<string>")]
     found = own.select("doc", F.explode(F.array_distinct(F.concat(*grams))).alias("phrase"))
     return found.join(phrases.select("phrase").distinct(), "phrase").groupBy("phrase").agg(F.count("*").alias("n"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import category_weight
+from ..storage import written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def common_neighbours(near: DataFrame, degree: DataFrame) -> DataFrame:
     sized = near.where("a < b").join(degree.withColumnsRenamed({"d": "da"}), "a").join(degree.withColumnsRenamed({"a": "b", "d": "db"}), "b")
     up = F.col("da") <= F.col("db")  # of equal degrees the smaller id, which is a
     pick = lambda x, y, name: F.when(up, F.col(x)).otherwise(F.col(y)).alias(name)
-    out = sized.select(pick("a", "b", "u"), pick("b", "a", "v"), pick("db", "da", "d"))
+    out = written(sized.select(pick("a", "b", "u"), pick("b", "a", "v"), pick("db", "da", "d")), "directed")
     wedges = out.select("u", "v", F.col("d").alias("dv")).join(out.select("u", F.col("v").alias("w"), F.col("d").alias("dw")), "u").where("dv < dw or dv = dw and v < w")
     closed = wedges.select("u", "v", "w").join(out.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_semi")
     sides = F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("u").alias("x"), F.col("w").alias("y")), F.struct(F.col("v").alias("x"), F.col("w").alias("y"))))
@@ -36,8 +37,8 @@ def link_weights(edges: DataFrame) -> DataFrame:
 
     Neighbourhoods are taken in both directions; a loop is its node's own neighbour.
     """
-    one = edges.select("a", "b").distinct()
-    near = both_ways(one)
+    one = written(edges.select("a", "b").distinct(), "edges")  # several branches start from these
+    near = written(both_ways(one), "neighbours")
     degree = near.groupBy("a").agg(F.count("*").alias("d"))
     sized = one.join(degree.withColumnsRenamed({"d": "da"}), "a").join(degree.withColumnsRenamed({"a": "b", "d": "db"}), "b")
     loops = near.where("a = b").select(F.col("a").alias("n"))
@@ -65,7 +66,7 @@ def all_contexts(merged: DataFrame, few: int = 10, top: int = 30, decay: float =
     A second-order weight is decay * w(topic, via) * w(via, context), over the smallest
     ``via``; contexts that are direct already, or the topic itself, are left out.
     """
-    first = merged.where("topic <> context").select("topic", "context", F.round("weight", 12).alias("weight"))
+    first = written(merged.where("topic <> context").select("topic", "context", F.round("weight", 12).alias("weight")), "first-contexts")
     sparse = first.groupBy("topic").agg(F.count("*").alias("n")).where(F.col("n") < few).select("topic")
     one = first.join(sparse, "topic", "left_semi").select("topic", F.col("context").alias("via"), F.col("weight").alias("w"))
     two = one.join(first.select(F.col("topic").alias("via"), "context", F.col("weight").alias("w2")), "via").where("context <> topic")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import allowed_phrase, tokens
-from ..storage import spread
+from ..storage import spread, written
 from .corpus import numbered
 
 
@@ -20,17 +20,18 @@ def known_words(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
     return rows.join(vocabulary.select("word"), "word", "left_semi").withColumn("k", F.row_number().over(W.partitionBy("doc").orderBy("pos"))).select("doc", "pos", "k", "word")
 
 
-def phrase_trie(forms: DataFrame, dictionary: DataFrame, longest: int = 8) -> DataFrame:
-    """(phrase, level, parent, word, phrase_id): every prefix of every form's known words.
+def phrase_trie(forms: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(phrase, level, parent, word, phrase_id): every prefix of every form's known words, however long.
 
     Ids run through the levels, and in a level by the parent's and the word's id, from 0.
     """
     words = forms.select("form").distinct().select("form", F.posexplode(F.split("form", " ")).alias("pos", "word"))
     known = words.join(dictionary.select("word", "word_id"), "word")
     paths = known.groupBy("form").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("w"))
-    prefixes = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(longest))), lambda n: F.slice("w", 1, n))).alias("w")).distinct()
+    prefixes = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.slice("w", 1, n))).alias("w")).distinct()
     nodes = prefixes.select(F.array_join("w", " ").alias("phrase"), F.size("w").alias("level"), F.array_join(F.slice("w", 1, F.size("w") - 1), " ").alias("parent"), F.element_at("w", -1).alias("word"))
-    nodes = nodes.join(dictionary.select("word", "word_id"), "word")
+    nodes = written(nodes.join(dictionary.select("word", "word_id"), "word"), "trie-nodes")
+    longest = nodes.agg(F.max("level")).first()[0] or 1
     out, ids = None, None
     for level in range(1, longest + 1):
         here = nodes.where(F.col("level") == level)
@@ -51,12 +52,19 @@ def find_phrases(phrases: DataFrame, trie: DataFrame) -> DataFrame:
     return found.select("phrase", F.when(F.col("phrase") != "", F.coalesce("id", F.lit(-1))).alias("phrase_id"))
 
 
-def mentions(words: DataFrame, forms: DataFrame, longest: int = 2) -> DataFrame:
+def _longest(forms: DataFrame) -> int:
+    """Words of the longest form, 1 at least."""
+    return forms.agg(F.max(F.size(F.split("form", " ")))).first()[0] or 1
+
+
+def mentions(words: DataFrame, forms: DataFrame, longest: int | None = None) -> DataFrame:
     """(doc, start, end, form): places where a document's known words, one after another, make a form.
 
-    ``words`` as of ``known_words``. A row's following words come from one window, so the
-    documents are shuffled once whatever ``longest``; forms all of digits are left out.
+    ``words`` as of ``known_words``; forms may have any number of words (``longest`` saves
+    counting them). A row's following words come from one window, so the documents are
+    shuffled once whatever the forms; forms all of digits are left out.
     """
+    longest = longest or _longest(forms)
     w = W.partitionBy("doc").orderBy("k")
     row = words.withColumn("ws", F.collect_list("word").over(w.rowsBetween(0, longest - 1))).withColumn("ps", F.collect_list("pos").over(w.rowsBetween(0, longest - 1)))
     each = row.select("doc", F.col("pos").alias("start"), "ws", "ps", F.explode(F.sequence(F.lit(1), F.size("ws"))).alias("n"))

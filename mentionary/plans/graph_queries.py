@@ -40,9 +40,9 @@ def second_order_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.all_contexts(kb.merged(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
 
 
-@query(f"WITH {FORMS}{MERGED}, own AS (SELECT DISTINCT topic FROM forms WHERE page < 10) SELECT context, round(sum(weight), 9) AS weight FROM merged WHERE topic IN (SELECT topic FROM own) AND topic <> context GROUP BY context")
+@query(f"WITH {FORMS}{MERGED}, own AS (SELECT DISTINCT topic FROM forms) SELECT context, round(sum(weight), 9) AS weight FROM merged WHERE topic IN (SELECT topic FROM own) AND topic <> context GROUP BY context")
 def context_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The profile of the topics of all pages; the SQL here asks for those of ten pages and is no check of the whole job."""
+    """The profile of the topics of all pages."""
     asked = kb.forms(spark, sf_dir).select("topic")
     return links.context_profile(asked, kb.merged(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
 
@@ -62,10 +62,11 @@ def topic_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LINKING = TARGETS + f""",
 vocab AS (SELECT DISTINCT unnest(string_split(form, ' ')) AS word FROM targets),
-toks AS (SELECT conv_id * 1000 + turn AS doc, list_slice({tok('text')}, 1, 3000) AS w FROM conversations),
+toks AS (SELECT doc_id AS doc, list_slice({tok('text')}, 1, 3000) AS w FROM documents),
 pos AS (SELECT doc, unnest(range(1, len(w) + 1)) - 1 AS pos, unnest(w) AS word FROM toks),
-known AS (SELECT doc, pos, word, row_number() OVER (PARTITION BY doc ORDER BY pos) AS k FROM pos WHERE word IN (SELECT word FROM vocab)),
-spans AS (SELECT doc, pos AS start, pos AS "end", word AS form FROM known UNION ALL SELECT x.doc, x.pos, y.pos, x.word || ' ' || y.word FROM known x JOIN known y ON y.doc = x.doc AND y.k = x.k + 1),
+known AS (SELECT doc, list(pos ORDER BY pos) AS ps, list(word ORDER BY pos) AS ws FROM pos WHERE word IN (SELECT word FROM vocab) GROUP BY doc),
+heads AS (SELECT doc, ps, ws, unnest(range(1, len(ps) + 1)) AS i FROM known),
+spans AS (SELECT doc, ps[i] AS start, ps[i + n - 1] AS "end", array_to_string(list_slice(ws, i, i + n - 1), ' ') AS form FROM heads, (SELECT DISTINCT len(string_split(form, ' ')) AS n FROM targets) WHERE i + n - 1 <= len(ps)),
 mentions AS (SELECT doc, start, "end", form FROM spans WHERE form IN (SELECT form FROM targets) AND NOT regexp_full_match(form, '[0-9]+( [0-9]+)*')),
 marked AS (SELECT *, CASE WHEN start > max("end") OVER (PARTITION BY doc ORDER BY start, "end", form ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT FALSE THEN 1 ELSE 0 END AS opened FROM mentions),
 sites AS (SELECT doc, start, "end", form, sum(opened) OVER (PARTITION BY doc ORDER BY start, "end", form)::BIGINT AS site FROM marked)"""
@@ -114,10 +115,14 @@ def candidate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cands(spark, sf_dir).select("doc", "site", "start", "form", "topic", F.round("alt_weight", 9).alias("alt_weight"), F.round("topic_weight", 9).alias("topic_weight"))
 
 
-def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates, and these by context, written."""
     cands = written(_cands(spark, sf_dir), "candidates")
-    weighted = written(resolve.context_weights(cands, links.all_contexts(kb.merged(spark, sf_dir))), "context-weights")
-    return cands, resolve.context_links(weighted), resolve.direct_links(weighted, cands)
+    return written(resolve.context_weights(cands, links.all_contexts(kb.merged(spark, sf_dir))), "context-weights"), cands
+
+
+def _topic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(resolve.all_topic_links(*_linked(spark, sf_dir)), "topic-links")
 
 
 _LINKS = _WEIGHTED + """,
@@ -130,35 +135,38 @@ _SHAPE = "SELECT doc, topic1, topic2, count(*)::BIGINT AS n, round(sum(weight),
 
 
 def _shape(df: DataFrame) -> DataFrame:
-    return df.groupBy("doc", "topic1", "topic2").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+    return df.groupBy("doc", "topic1", "topic2").agg(F.sum("n").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 @query(f"WITH {_LINKS} " + _SHAPE.format("cl"))
 def context_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shape(_linked(spark, sf_dir)[1])
+    return _shape(resolve.topic_links(*resolve._meeting(*_linked(spark, sf_dir))[0]))
 
 
 @query(f"WITH {_LINKS} " + _SHAPE.format("dl"))
 def direct_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shape(_linked(spark, sf_dir)[2])
+    return _shape(resolve.topic_links(*resolve._meeting(*_linked(spark, sf_dir))[1]))
+
+
+_ENDS = "ends AS (SELECT doc, site1 AS site, start1 AS start, topic1 AS topic, weight FROM links UNION ALL SELECT doc, site2, start2, topic2, weight FROM links)"
 
 
-@query(f"WITH {_LINKS}, ends AS (SELECT doc, site1 AS site, start1 AS start, topic1 AS topic, weight FROM links UNION ALL SELECT doc, site2, start2, topic2, weight FROM links) SELECT doc, site, start::INT AS start, topic, round(sum(weight), 6) AS score FROM ends GROUP BY ALL")
+@query(f"WITH {_LINKS}, {_ENDS} SELECT doc, site, start::INT AS start, topic, round(sum(weight), 6) AS score FROM ends GROUP BY ALL")
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, a, b = _linked(spark, sf_dir)
-    return resolve.candidate_scores(a.unionByName(b)).select("doc", "site", "start", "topic", F.round("score", 6).alias("score"))
+    return resolve.candidate_scores(*_linked(spark, sf_dir)).select("doc", "site", "start", "topic", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_CANDS} SELECT 0::BIGINT AS inconsistent")
+@query(f"WITH {_LINKS}, {_ENDS} SELECT doc, n AS links, round(w, 3) AS weight, round(s, 3) AS scored FROM (SELECT doc, count(*)::BIGINT AS n, sum(weight) AS w FROM links GROUP BY doc) JOIN (SELECT doc, sum(weight) / 2 AS s FROM ends GROUP BY doc) USING (doc)")
 def link_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, a, b = _linked(spark, sf_dir)
-    return resolve.unbalanced(written(a.unionByName(b), "links")).agg(F.count("*").alias("inconsistent"))
+    """Each document's links counted from its topics, and from its candidates."""
+    own = _linked(spark, sf_dir)
+    return resolve.link_totals(resolve.all_topic_links(*own), resolve.candidate_scores(*own)).select("doc", "links", F.round("weight", 3).alias("weight"), F.round("scored", 3).alias("scored"))
 
 
 @query()
 def resolve_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cands, a, b = _linked(spark, sf_dir)
-    return resolve.resolve(cands, a.unionByName(b))
+    weighted, cands = _linked(spark, sf_dir)
+    return resolve.resolve(cands, resolve.context_links(weighted).unionByName(resolve.direct_links(weighted, cands)))
 
 
 _DIGEST = _LINKS + """,
@@ -168,28 +176,24 @@ dt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY wei
 
 @query(f"WITH {_DIGEST} SELECT doc, topic, round(weight, 6) AS weight FROM dt")
 def digest_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, a, b = _linked(spark, sf_dir)
-    return resolve.digest_topics(a.unionByName(b)).select("doc", "topic", F.round("weight", 6).alias("weight"))
+    return resolve.digest_topics(_topic_links(spark, sf_dir)).select("doc", "topic", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {_DIGEST} SELECT t.doc, a, b, round(t.weight, 6) AS weight FROM totals t JOIN dt x ON x.doc = t.doc AND x.topic = a JOIN dt y ON y.doc = t.doc AND y.topic = b")
 def digest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, a, b = _linked(spark, sf_dir)
-    both = written(a.unionByName(b), "links")
+    both = _topic_links(spark, sf_dir)
     return resolve.digest_links(both, resolve.digest_topics(both)).withColumn("weight", F.round("weight", 6))
 
 
 @query()
 def digest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, a, b = _linked(spark, sf_dir)
-    both = written(a.unionByName(b), "links")
+    both = _topic_links(spark, sf_dir)
     return clustering.cluster_topics(resolve.digest_links(both, resolve.digest_topics(both)))
 
 
 @query()
 def output_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, a, b = _linked(spark, sf_dir)
-    return clustering.cluster_topics(resolve.output_edges(a.unionByName(b)), 0.99, True)
+    return clustering.cluster_topics(resolve.output_edges(_topic_links(spark, sf_dir)), 0.99, True)
 
 
 @query(f"WITH {PARTS} SELECT a, b, (count(*) * 2)::DOUBLE AS weight FROM (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges) GROUP BY a, b")

@@ -25,7 +25,7 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(topic, target): spellings with capitals or punctuation redirect to the plain one."""
     names = forms(spark, sf_dir).select("topic").distinct()
-    plain = F.concat(F.lit("Main:"), F.lower(F.regexp_replace(F.substring("topic", 6, 1000), r"[^\p{L}\p{N}]", "")))
+    plain = F.concat(F.lit("Main:"), F.lower(F.regexp_replace(F.expr("substr(topic, 6)"), r"[^\p{L}\p{N}]", "")))
     return names.select("topic", plain.alias("target")).where("target <> topic and target <> 'Main:'")
 
 
@@ -46,7 +46,7 @@ def parts_together(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): the documents to link. The linking queries' SQL reads conversations and is no check of the whole job."""
+    """(doc_id, text): the documents to link."""
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
@@ -61,7 +61,7 @@ forms AS (SELECT DISTINCT page, form, topic FROM (SELECT page, array_to_string({
 TARGETS = FORMS + """,
 targets AS (SELECT form, topic, count(*)::BIGINT AS n FROM forms GROUP BY form, topic HAVING count(*) > 1)"""
 REDIRECTS = FORMS + r""",
-redirects AS (SELECT * FROM (SELECT DISTINCT topic, 'Main:' || lower(regexp_replace(substr(topic, 6, 1000), '[^\p{L}\p{N}]', '', 'g')) AS target FROM forms) WHERE target <> topic AND target <> 'Main:')"""
+redirects AS (SELECT * FROM (SELECT DISTINCT topic, 'Main:' || lower(regexp_replace(substr(topic, 6), '[^\p{L}\p{N}]', '', 'g')) AS target FROM forms) WHERE target <> topic AND target <> 'Main:')"""
 WEIGHTS_OF = """,
 near AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 degree AS (SELECT a, count(*) AS d FROM near GROUP BY a),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import great_circle_miles, words
@@ -14,14 +15,14 @@ from ..streaming import matching
 from .registry import query, table
 
 _VEC = r"""WITH t AS (SELECT conv_id * 1000 + turn AS doc, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM conversations), r AS (SELECT * FROM t WHERE len(w) >= 20),
-tf AS (SELECT doc, size, word, count(*) AS c FROM (SELECT doc, len(w) AS size, unnest(w) AS word FROM r) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word HAVING count(*) > 1 AND count(*) < 10),
+tf AS (SELECT doc, size, word, count(*) AS c FROM (SELECT doc, len(w) AS size, unnest(w) AS word FROM r) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word HAVING count(*) > 1 AND count(*) < 100000),
 v AS (SELECT doc, word AS topic, round(c / size * ln((SELECT count(*) FROM r) // df), 12) AS weight FROM tf JOIN df USING (word))"""
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, topic, weight): tf-idf vectors of conversation turns of 20 words or more, over words of 2 to 99,999 of them.
 
-    The upper bound is the reference's own. The SQL here stops at 9 turns and is no check of the whole job.
+    The upper bound is the reference's own.
     """
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     return corpus.tf_idf(turns, top=1_000_000_000, least_words=20, commoner_than=1, cut=words).select("doc", F.col("word").alias("topic"), "weight")
@@ -59,28 +60,28 @@ def ranked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.ranked_groups(v).withColumn("mean_rank", F.round("mean_rank", 9))
 
 
-@query("SELECT p_partkey, ((k - 1) // 5)::INT AS row, ((k - 1) % 5)::INT AS col FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS k FROM part WHERE p_brand = 'Brand#11' OR p_size = 7)")
+@query("SELECT p_brand, p_partkey, ((k - 1) // 5)::INT AS row, ((k - 1) % 5)::INT AS col FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part)")
 def skills_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine = table(spark, sf_dir, "part").where("p_brand = 'Brand#11' or p_size = 7")  # one document's skills
-    return vectors.grid(mine, [F.desc("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "row", "col")
+    """A grid for each brand, as for each document."""
+    return vectors.grid(table(spark, sf_dir, "part"), [F.desc("p_retailprice"), F.col("p_partkey")], by="p_brand").select("p_brand", "p_partkey", "row", "col")
 
 
-_DENSE = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS c FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id)"
+_DENSE = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT a.vec_id AS a, b.vec_id AS b, floor(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) * 1e9::DOUBLE + 0.5) / 1e9::DOUBLE AS c9 FROM e a JOIN e b ON a.vec_id <> b.vec_id)"
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, v): all embeddings at length 1. The SQL here compares those of one label alone and is no check of the whole job."""
+    """(id, v): all embeddings at length 1."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vectors.unit("embedding").alias("v"))
 
 
-@query(_DENSE + " SELECT a, b, round(round(c, 9), 6) AS similarity FROM s WHERE a < b")
+@query(_DENSE + " SELECT a, b, floor(c9 * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS similarity FROM s WHERE a < b")
 def dense_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.dense_pairs(_dense(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+    return vectors.dense_pairs(_dense(spark, sf_dir)).withColumn("similarity", F.floor(F.col("similarity") * 1e6 + 0.5) / 1e6)
 
 
-@query(_DENSE + " SELECT a, b, round(round(c, 9), 6) AS similarity, k::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS k FROM s) WHERE k <= 5")
+@query(_DENSE + " SELECT a, b, floor(c9 * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS similarity, k::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c9 DESC, b) AS k FROM s) WHERE k <= 5")
 def topk_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.dense_top(_dense(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+    return vectors.dense_top(_dense(spark, sf_dir)).withColumn("similarity", F.floor(F.col("similarity") * 1e6 + 0.5) / 1e6)
 
 
 @query("SELECT s.s_suppkey AS search, n.n_nationkey::BIGINT AS position FROM supplier s, nation n WHERE s.s_nationkey <> n.n_nationkey AND (s.s_suppkey > 5 OR n.n_nationkey > 12)")
@@ -90,19 +91,21 @@ def new_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.new_pairs(s, p, 5, 12)
 
 
-@query("""SELECT s_name AS company, n_name AS nation, round(max(l_extendedprice), 6) AS best, min(l_quantity) AS nearest, count(*)::BIGINT AS matches
-FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL""")
+@query("""SELECT *, row_number() OVER (PARTITION BY nation ORDER BY best DESC, company)::INT AS place FROM (SELECT s_name AS company, n_name AS nation, round(max(l_extendedprice), 6) AS best, min(l_quantity) AS nearest, count(*)::BIGINT AS matches
+FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL)""")
 def matches_home(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     joined = t("customer").select("c_custkey").join(t("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "c_custkey").join(t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"), "l_extendedprice", "l_quantity"), "o_orderkey")
     named = joined.join(t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("s_name").alias("company"), F.col("n_name").alias("nation")), "s_suppkey")
-    return named.groupBy("company", "nation").agg(F.round(F.max("l_extendedprice"), 6).alias("best"), F.min("l_quantity").alias("nearest"), F.count("*").alias("matches"))
+    return named.groupBy("company", "nation").agg(F.round(F.max("l_extendedprice"), 6).alias("best"), F.min("l_quantity").alias("nearest"), F.count("*").alias("matches")).withColumn("place", F.row_number().over(W.partitionBy("nation").orderBy(F.desc("best"), "company")))
 
 
-@query("SELECT c_custkey, c_name, o_orderkey, o_orderdate FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 7")
+@query("SELECT c_nationkey, c_custkey, c_name, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey, c_custkey)::INT AS place FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 def positions_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's (nation's) positions with what they may have, latest first."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    return c.where("c_nationkey = 7").join(o, o["o_custkey"] == c["c_custkey"], "left").select("c_custkey", "c_name", "o_orderkey", "o_orderdate")
+    rows = c.join(o, o["o_custkey"] == c["c_custkey"], "left").select("c_nationkey", "c_custkey", "c_name", "o_orderkey", "o_orderdate")
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("c_nationkey").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey", "c_custkey")))
 
 
 @query("SELECT event_id, ts, user_id, event_type, c_name FROM events JOIN customer ON c_custkey = user_id")
@@ -132,11 +135,14 @@ def max_min_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").agg(F.max("o_totalprice").alias("most"), F.min("o_totalprice").alias("least"), F.count("*").alias("n"), (F.max("o_orderkey") + 1).alias("next_id"))
 
 
-@query("SELECT c_custkey, s_suppkey, round(degrees(acos(greatest(-1.0, least(1.0, sin(radians(a)) * sin(radians(c)) + cos(radians(a)) * cos(radians(c)) * cos(radians(b - d)))))) * 60 * 1.1515, 3) AS miles FROM (SELECT c_custkey, c_custkey % 90 AS a, c_custkey % 180 AS b FROM customer), (SELECT s_suppkey, s_suppkey % 89 - 44 AS c, s_suppkey % 179 - 90 AS d FROM supplier)")
+@query("SELECT c_custkey, s_suppkey, round(degrees(acos(greatest(-1.0, least(1.0, sin(radians(a)) * sin(radians(c)) + cos(radians(a)) * cos(radians(c)) * cos(radians(b - d)))))) * 60 * 1.1515, 3) AS miles FROM (SELECT DISTINCT c_custkey, s_suppkey, c_custkey % 90 AS a, c_custkey % 180 AS b, s_suppkey % 89 - 44 AS c, s_suppkey % 179 - 90 AS d FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey)")
 def great_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the pairs that match (here: a customer and those who supplied them); nothing else is paired."""
+    o, li = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    pairs = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(F.col("o_custkey").alias("c_custkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 90).alias("a"), (F.col("c_custkey") % 180).alias("b"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 89 - 44).alias("c"), (F.col("s_suppkey") % 179 - 90).alias("d"))
-    return c.crossJoin(s).select("c_custkey", "s_suppkey", F.round(great_circle_miles("a", "b", "c", "d"), 3).alias("miles"))
+    return pairs.join(c, "c_custkey").join(s, "s_suppkey").select("c_custkey", "s_suppkey", F.round(great_circle_miles("a", "b", "c", "d"), 3).alias("miles"))
 
 
 def _scratch(spark: SparkSession, name: str) -> str:

@@ -105,7 +105,7 @@ def wiki_surface_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {REDIRECTS} SELECT topic, target, 'R from other' AS reason FROM redirects")
 def wiki_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = kb.redirects(spark, sf_dir)
-    pages = r.select(F.col("topic").alias("title"), F.concat(F.lit("#REDIRECT [["), F.substring("target", 6, 1000), F.lit("]] {{R from other}}")).alias("text"))
+    pages = r.select(F.col("topic").alias("title"), F.concat(F.lit("#REDIRECT [["), F.expr("substr(target, 6)"), F.lit("]] {{R from other}}")).alias("text"))
     reason = pages.select(F.col("title").alias("topic"), markup.redirect_reason("text").alias("reason"))
     return markup.redirects(pages).join(reason, "topic").select("topic", "target", "reason")
 
@@ -166,12 +166,13 @@ def phrase_topic_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.priors(kb.targets(spark, sf_dir)).withColumn("prior", F.round("prior", 9))
 
 
-_PHRASES = f"""grams AS (SELECT DISTINCT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS phrase FROM (SELECT doc_id, {tok('text')} AS w FROM documents))"""
+_PHRASES = f"""sizes AS (SELECT DISTINCT len(string_split(form, ' ')) AS n FROM targets),
+grams AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {tok('text')} AS w FROM documents)), sizes WHERE i + n - 1 <= len(w))"""
 
 
 @query(f"WITH {TARGETS}, {_PHRASES} SELECT phrase, count(*)::BIGINT AS n FROM grams WHERE phrase IN (SELECT form FROM targets) GROUP BY phrase")
 def phrase_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.phrase_document_frequency(table(spark, sf_dir, "documents"), 2, kb.targets(spark, sf_dir).select(F.col("form").alias("phrase")))
+    return corpus.phrase_document_frequency(table(spark, sf_dir, "documents"), kb.targets(spark, sf_dir).select(F.col("form").alias("phrase")))
 
 
 @query(f"WITH {TARGETS}, {_PHRASES}, df AS (SELECT phrase, count(*) AS d FROM grams WHERE phrase IN (SELECT form FROM targets) GROUP BY phrase) SELECT form, round(links / d, 9) AS weight FROM (SELECT form, sum(n) AS links FROM targets GROUP BY form) JOIN df ON phrase = form")
@@ -185,16 +186,17 @@ def _part_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return f, corpus.numbered(words, "word", "word_id")
 
 
-_TRIE = f"""f AS (SELECT DISTINCT {tok('p_name')} AS w FROM part),
+_TRIE = f"""RECURSIVE f AS (SELECT DISTINCT {tok('p_name')} AS w FROM part),
 d AS (SELECT word, row_number() OVER (ORDER BY encode(word)) - 1 AS word_id FROM (SELECT DISTINCT unnest(w) AS word FROM f)),
-l1 AS (SELECT w1 AS phrase, 1 AS level, '' AS parent, w1 AS word, row_number() OVER (ORDER BY word_id) - 1 AS phrase_id FROM (SELECT DISTINCT w[1] AS w1 FROM f) JOIN d ON word = w1),
-l2 AS (SELECT p || ' ' || w2 AS phrase, 2 AS level, p AS parent, w2 AS word, row_number() OVER (ORDER BY phrase_id, word_id) - 1 + (SELECT count(*) FROM l1) AS phrase_id FROM (SELECT DISTINCT w[1] AS p, w[2] AS w2 FROM f WHERE len(w) > 1) JOIN l1 ON phrase = p JOIN d ON d.word = w2),
-trie AS (SELECT phrase, level, parent, word, phrase_id::BIGINT AS phrase_id FROM l1 UNION ALL SELECT phrase, level, parent, word, phrase_id::BIGINT FROM l2)"""
+nodes AS (SELECT DISTINCT list_slice(w, 1, n) AS w, n AS level FROM (SELECT w, unnest(range(1, len(w) + 1)) AS n FROM f)),
+paths AS (SELECT array_to_string(w, ' ') AS phrase, level, array_to_string(list_slice(w, 1, level - 1), ' ') AS parent, w[level] AS word, list_transform(range(1, level + 1), lambda i: w[i]) AS p FROM nodes),
+keyed AS (SELECT any_value(q.phrase) AS phrase, any_value(q.level) AS level, any_value(q.parent) AS parent, any_value(q.word) AS word, list(d.word_id ORDER BY q.i) AS k FROM (SELECT *, unnest(p) AS x, unnest(range(1, level + 1)) AS i FROM paths) q JOIN d ON d.word = q.x GROUP BY q.p),
+trie AS (SELECT phrase, level::INT AS level, parent, word, (row_number() OVER (ORDER BY level, k) - 1)::BIGINT AS phrase_id FROM keyed)"""
 
 
 @query(f"WITH {_TRIE} SELECT * FROM trie")
 def trie_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.phrase_trie(*_part_words(spark, sf_dir), longest=2)
+    return phrases.phrase_trie(*_part_words(spark, sf_dir))
 
 
 @query(f"WITH {_TRIE}, asked AS (SELECT p_name AS phrase FROM part UNION SELECT p_type FROM part) SELECT lower(a.phrase) AS phrase, CASE WHEN a.phrase <> '' THEN coalesce(phrase_id, -1) END AS phrase_id FROM asked a LEFT JOIN trie t ON t.phrase = lower(a.phrase)")

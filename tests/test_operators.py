@@ -65,7 +65,7 @@ def test_double_metaphone(word, key):
 def test_trie_finds_what_was_stored(spark):
     forms = spark.createDataFrame([("new york",), ("new york city",), ("old town",), ("york",)], "form string")
     words = forms.select(F.explode(F.split("form", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    trie = phrases.phrase_trie(forms, corpus.numbered(words, "word", "word_id"), 3)
+    trie = phrases.phrase_trie(forms, corpus.numbered(words, "word", "word_id"))
     ids = {r.phrase: r.phrase_id for r in trie.collect()}
     assert sorted(ids.values()) == list(range(len(ids))) and set(ids) == {"new", "old", "york", "new york", "old town", "new york city"}
     asked = spark.createDataFrame([("new york",), ("new york city hall",), ("city",), ("in old town",), ("",)], "phrase string")

@@ -6,8 +6,8 @@ import pytest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = sorted(n for n in entry.queries() if n in entry.oracle_sql())
-#: The linking queries share their plan; three of them stand for all here, the driver runs every one.
-SLOW = {"context_links", "direct_links", "candidate_scores", "digest_topics"}
+#: The linking queries share their plan; some of them stand for all here, the driver runs every one.
+SLOW = {"direct_links", "candidate_scores", "digest_topics"}
 
 
 @pytest.fixture(scope="module")
