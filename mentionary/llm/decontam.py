@@ -10,6 +10,7 @@ of white space and ASCII punctuation as one space.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import CHUNK, Lookup, lower, pieces, ragged, row_of
-from .scratch import text_pass
+from .scratch import text_pass, written
 
-Q = 8
-#: Edits allowed a character of an item; items shorter than MIN_CHARS after folding aren't searched.
+#: Characters of a q-gram. At RATE, items of MIN_CHARS or more share one with any occurrence within their budget.
+Q = 7
+#: Edits allowed a character of an item; items shorter than MIN_CHARS after folding aren't searched (0 of the 200 here), as they occur by chance.
 RATE, MIN_CHARS = 0.1, 24
 #: Bytes of benchmark text that one pass broadcasts; a larger benchmark takes more passes.
 PASS_BYTES = 16_000_000
@@ -55,8 +57,11 @@ def fold_text(text: str) -> bytes:
 
 
 def _grams(buf: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position as one number."""
-    return np.ndarray((max(0, len(buf) - Q + 1),), "<u8", np.ascontiguousarray(buf), strides=(1,)) if len(buf) >= Q else np.zeros(0, np.uint64)
+    """The ``Q`` bytes from each position as one number."""
+    n = len(buf) - Q + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    return np.ndarray((n,), "<u8", np.concatenate([buf, np.zeros(8 - Q, np.uint8)]), strides=(1,)) & np.uint64((1 << (8 * Q)) - 1)
 
 
 @dataclass
@@ -182,11 +187,13 @@ class Matcher:
 
 def _best(found: Iterable[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """Of overlapping alignments of one item in one row, the one with the fewest edits (the first of equals)."""
-    out: list[tuple[int, int, int, int, int]] = []
-    for f in sorted(found, key=lambda f: (f[0], f[1], f[4], f[2], f[3])):
-        if not any(g[0] == f[0] and g[1] == f[1] and g[2] < f[3] and f[2] < g[3] for g in reversed(out[-50:])):
-            out.append(f)
-    return sorted(out)
+    kept: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for row, item, start, end, edits in sorted(found, key=lambda f: (f[0], f[1], f[4], f[2], f[3])):
+        own = kept.setdefault((row, item), [])
+        at = bisect_left(own, (start, end, edits))  # none overlap, so the neighbours tell
+        if (at == 0 or own[at - 1][1] <= start) and (at == len(own) or own[at][0] >= end):
+            own.insert(at, (start, end, edits))
+    return sorted((*key, *f) for key, own in kept.items() for f in own)
 
 
 _matchers: dict[int, Matcher] = {}
@@ -200,17 +207,22 @@ def _matcher(index: Index) -> Matcher:
     return _matchers[key]
 
 
-def indexes(benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, pass_bytes: int = PASS_BYTES) -> list[Index]:
-    """The benchmark's index, in as many parts as ``pass_bytes`` makes needed."""
+def indexes(benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, pass_bytes: int = PASS_BYTES) -> Iterator[tuple[Index, bool]]:
+    """The benchmark's index, in as many parts as ``pass_bytes`` makes needed, one at a time, and whether it is the only one."""
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-int(total) // pass_bytes))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    out = []
     for p in range(parts):
         rows = items.where(part == p).distinct().orderBy("item_id", "text").toArrow()
-        out.append(Index.build(rows["item_id"].to_pylist(), rows["text"].to_pylist(), rate, min_chars))
-    return out
+        yield Index.build(rows["item_id"].to_pylist(), rows["text"].to_pylist(), rate, min_chars), parts == 1
+
+
+def _done(rows: DataFrame, shared) -> DataFrame:
+    """The rows of a pass, written, so that its part of the index can go before the next one is built."""
+    rows = written(rows, "leaks")
+    shared.destroy()
+    return rows
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -224,7 +236,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_ch
     findings, repeated equal items one; texts are read whole; other columns are not read.
     """
 
-    def search(index: Index) -> DataFrame:
+    def search(index: Index, only: bool) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,19 +246,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_ch
                 columns = [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array(matcher.x.ids[[r[1] for r in rows]] if rows else [], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array([r[i] for r in rows], pa.int32()) for i in (2, 3, 4)], names=["doc_id", "item_id", "start", "end", "edits"])
 
-        return text_pass(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, SCHEMA)
+        rows = text_pass(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, SCHEMA)
+        return rows if only else _done(rows, shared)
 
-    found = [search(i) for i in indexes(benchmark, rate, min_chars, pass_bytes)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    out = None
+    for index, only in indexes(benchmark, rate, min_chars, pass_bytes):
+        found = search(index, only)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """``docs`` without the rows in which a benchmark item occurs, all columns as they were; null and empty texts stay."""
+    """``docs`` without the rows in which a benchmark item occurs, all columns as they were.
+
+    Null and empty texts and rows with a null id stay unless their text holds an item; an
+    empty table stays empty, and an empty benchmark drops nothing.
+    """
     at = docs.columns.index("text")
-    for index in indexes(benchmark, rate, min_chars, pass_bytes):
+    for index, only in indexes(benchmark, rate, min_chars, pass_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -257,4 +274,6 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_c
                 yield batch.filter(pa.array(stays))
 
         docs = text_pass(docs, run, docs.schema)
+        if not only:
+            docs = _done(docs, shared)
     return docs

@@ -16,6 +16,7 @@ import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import ahocorasick
 import pyarrow as pa
@@ -112,26 +113,30 @@ def _riff(b: bytes, i: int) -> int | None:
 def _pdf(b: bytes, i: int) -> int | None:
     if not re.match(rb"%PDF-\d\.\d", b[i : i + 8]):
         return None
-    end = b.find(b"%%EOF", i)
     nxt = b.find(b"%PDF-", i + 5)
-    while end >= 0 and (more := b.find(b"%%EOF", end + 5, nxt if nxt >= 0 else len(b))) >= 0:
-        end = more
-    if end < 0 or (0 <= nxt < end) or b.find(b"startxref", i, end) < 0:
+    end = b.rfind(b"%%EOF", i, nxt if nxt >= 0 else len(b))  # no further than the next document, so a blob is gone through once
+    if end < 0 or b.find(b"startxref", i, end) < 0:
         return None
     return end + 5 - i
 
 
-def _zip(b: bytes, i: int) -> int | None:
-    if i + 30 > len(b):
-        return None
-    end = b.find(b"PK\x05\x06", i)
+@lru_cache(maxsize=1)
+def _archives(b: bytes) -> dict[int, int]:
+    """Start and length of each archive: its directory's end says where it starts."""
+    out: dict[int, int] = {}
+    end = b.find(b"PK\x05\x06")
     while end >= 0 and end + 22 <= len(b):
         size, start = struct.unpack("<II", b[end + 12 : end + 20])
-        note = struct.unpack("<H", b[end + 20 : end + 22])[0]
-        if start + size == end - i and b[i + start : i + start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(b):
-            return end + 22 + note - i
+        stop = end + 22 + struct.unpack("<H", b[end + 20 : end + 22])[0]
+        i = end - size - start
+        if i >= 0 and b[i + start : i + start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and stop <= len(b):
+            out.setdefault(i, stop - i)
         end = b.find(b"PK\x05\x06", end + 4)
-    return None
+    return out
+
+
+def _zip(b: bytes, i: int) -> int | None:
+    return _archives(b).get(i) if i + 30 <= len(b) else None
 
 
 def _gzip(b: bytes, i: int) -> int | None:
@@ -191,7 +196,8 @@ def _mp4(b: bytes, i: int) -> int | None:
 def _html(b: bytes, i: int) -> int | None:
     if b[:i].strip(b" \t\r\n\xef\xbb\xbf"):
         return None
-    return len(b) - i if re.search(rb"</(?:html|body)\s*>\s*\Z", b[-512:], re.I) else None
+    end = b.rstrip()
+    return len(b) - i if re.fullmatch(rb"</(?:html|body)\s*>", end[max(0, end.rfind(b"<")) :], re.I) else None
 
 
 #: (media type, magic bytes, bytes before the magic, validator)
@@ -217,26 +223,27 @@ def _automaton() -> ahocorasick.Automaton:
 
 def objects(blob: bytes) -> list[tuple[int, int, str]]:
     """(place, length, type) of the valid objects that no longer one (or, of equals, an earlier format) contains; also (place, -1, "") of data URIs."""
-    found, uris = [], []
+    places, uris = [], []
     for end, k in _automaton().iter(blob.decode("latin-1")):
         if k < 0:
             uris.append((end - 4, -1, ""))
-            continue
-        kind, magic, lead, valid = FORMATS[k]
-        at = end + 1 - len(magic) - lead
-        if at >= 0 and (n := valid(blob, at)):
-            found.append((at, n, _RIFF[blob[at + 8 : at + 12]] if kind == "riff" else kind))
-    found.sort(key=lambda f: (f[0], -f[1]))
+        elif (at := end + 1 - len(FORMATS[k][1]) - FORMATS[k][2]) >= 0:
+            places.append((at, k))
     out, reach = [], -1
-    for f in found:
-        if f[0] >= reach:
-            out.append(f)
-            reach = f[0] + f[1] if f[2] != "text/html" else f[0] + 1  # a page is text around what it embeds
+    for at, same in groupby(sorted(places), key=lambda p: p[0]):
+        if at < reach:
+            continue  # inside a valid object; not even looked at, so that archives of many entries cost no more than others
+        valid = [(n, -k) for _, k in same if (n := FORMATS[k][3](blob, at))]
+        if valid:
+            n, k = max(valid)
+            kind = FORMATS[-k][0]
+            out.append((at, n, _RIFF[blob[at + 8 : at + 12]] if kind == "riff" else kind))
+            reach = at + n if kind != "text/html" else at + 1  # a page is text around what it embeds
     return sorted(out + uris)
 
 
-def sniff(blob: bytes | None, declared: str | None, depth: int = 2, offset: int = 0, nested: bool = False) -> Iterator[tuple]:
-    """Rows (at, length, declared, sniffed, action, nested) of one blob. ``at`` of what a data URI holds is the URI's place."""
+def sniff(blob: bytes | None, declared: str | None, offset: int = 0, nested: bool = False) -> Iterator[tuple]:
+    """Rows (at, length, declared, sniffed, action, nested) of one blob, and of what its data URIs hold, however deep. ``at`` of what a data URI holds is the URI's place."""
     said = declared.strip().lower().partition(";")[0] if declared else None
     if not blob:
         yield offset, 0, declared, None, "missing" if blob is None else "empty", nested
@@ -252,13 +259,13 @@ def sniff(blob: bytes | None, declared: str | None, depth: int = 2, offset: int
     for at, n, kind in found:
         if n < 0:
             m = _URI.match(blob, at)
-            if m and depth:
+            if m:
                 try:
                     inner = base64.b64decode(re.sub(rb"\s", b"", m[2]), validate=True)
                 except (binascii.Error, ValueError):
                     yield offset + at, m.end() - at, m[1].decode("latin-1") if m[1] else None, None, "broken", True
                     continue
-                yield from sniff(inner, m[1].decode("latin-1") if m[1] else None, depth - 1, offset + at, True)
+                yield from sniff(inner, m[1].decode("latin-1") if m[1] else None, offset + at, True)
         elif own is None or at != own[0]:
             yield offset + at, n, None, kind, "carved", nested
 
@@ -288,7 +295,11 @@ def sniff_media(blobs: DataFrame, id_col: str, blob_col: str, declared_col: str
 
 
 def page_media(pages: DataFrame) -> DataFrame:
-    """``sniff_media`` of the html column of pages, with the type that the URL's ending declares."""
+    """``sniff_media`` of the html column of pages, with the type that the URL's ending declares.
+
+    A null URL declares nothing, and a null html is missing; null ids, repeated rows,
+    empty tables and other columns are as in ``sniff_media``.
+    """
     from pyspark.sql import functions as F
 
     ending = F.lower(F.regexp_extract(F.split_part("url", F.lit("?"), F.lit(1)), r"\.([A-Za-z0-9]{2,5})(?:#.*)?$", 1))

@@ -1,8 +1,10 @@
 """PII by a skip-chain conditional random field.
 
-Tokens are the nodes of a chain; equal and similar tokens of a document are joined by
-skip edges, however far apart, so that evidence at one mention reaches the others.
-Loopy belief propagation passes messages along both kinds of edges until they settle.
+Tokens are the nodes of a chain; equal tokens of a document share a potential, however
+far apart and however many, and so do the different spellings of similar ones, so that
+evidence at one mention reaches all others at once. A shared potential is a hidden node
+that all its members are joined to; for two of them it is the same as an edge between
+them. Loopy belief propagation passes messages along both kinds of edges until they settle.
 Stretches of plain words have constant potentials: a stretch of n of them is one edge
 whose potential is the n-th power of the transition matrix, so the chain over the whole
 text costs what its few unusual tokens cost. Weights are learned here, by
@@ -106,7 +108,11 @@ def context_features(before: str, after: str) -> tuple[str, ...]:
 
 @dataclass
 class Tokens:
-    """Unusual tokens of a piece of text: row, place, plain tokens before each (-1 at a row's start), text, features and skip edges."""
+    """Unusual tokens of a piece of text: row, place, plain tokens before each (-1 at a row's start), text and features.
+
+    ``same`` has the equal tokens of each text, ``alike`` the places in ``same`` of those
+    that are similar; ``skips`` joins each to the one before, for learning.
+    """
 
     row: list[int]
     start: list[int]
@@ -115,11 +121,13 @@ class Tokens:
     core: list[str]
     features: list[tuple[str, ...]]
     skips: list[tuple[int, int, int]]
+    same: list[list[int]]
+    alike: list[list[int]]
 
 
 def unusual(buf: np.ndarray, off: np.ndarray) -> Tokens:
     """The tokens that may be personal data, and those of the same text as a name that may be."""
-    out = Tokens([], [], [], [], [], [], [])
+    out = Tokens([], [], [], [], [], [], [], [], [])
     starts, ends, rows = runs(~_SPACE[buf], off)
     if not len(starts):
         return out
@@ -177,12 +185,22 @@ def unusual(buf: np.ndarray, off: np.ndarray) -> Tokens:
             left = text[spans[k - 1][0] : spans[k - 1][1]] if k else text[:a].strip(_TRIM) or before
             out.features.append(shape_features(core) + context_features(left, after) + (("first",) if first[i] and not special[i] else ()) + ("bias",))
             seen = known.get(("same", core.lower()))
-            if seen is not None and not (seen == n - 1 and out.gap[n] == 0):  # neighbours have their edge already
+            beside = seen == n - 1 and out.gap[n] == 0  # neighbours have their edge already
+            if seen is None:
+                known["group", core.lower()] = len(out.same)
+                out.same.append([n])
+            elif not beside:
                 out.skips.append((seen, n, 0))
+                out.same[known["group", core.lower()]].append(n)
             digits = re.sub(r"\D", "", core)
             alike = ("digits", digits[-7:]) if len(digits) >= 7 else ("mail", core.lower().partition("@")[0]) if "@" in core else ("stem", core.lower().rstrip("s'")) if len(core) > 3 else None
-            if alike and seen is None and alike in known:
-                out.skips.append((known[alike], n, 1))
+            if alike and seen is None:
+                if alike in known:
+                    out.skips.append((known[alike], n, 1))
+                    out.alike[known["alike", alike]].append(len(out.same) - 1)
+                else:
+                    known["alike", alike] = len(out.alike)
+                    out.alike.append([len(out.same) - 1])
             known["same", core.lower()] = n
             if alike:
                 known[alike] = n
@@ -217,48 +235,78 @@ class SkipChainCrf:
             np.add.at(out, r, self.weights[f])
         return out
 
-    def marginals(self, unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int = 60, tolerance: float = 1e-6) -> np.ndarray:
-        """Beliefs by (loopy) message passing; edge e joins its two nodes with ``potentials[e]``. Exact where the edges form no cycle."""
+    def marginals(self, unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int = 1000, tolerance: float = 1e-6) -> np.ndarray:
+        """Beliefs by (loopy) message passing; edge e joins its two nodes with ``potentials[e]``. Exact where the edges form no cycle.
+
+        After each round only the edges whose messages may still change are gone through,
+        until there are none; ``rounds`` ends graphs that never settle.
+        """
         n, k = unary.shape
-        phi = np.exp(unary - unary.max(1, keepdims=True)) + 1e-300
-        if not len(edges):
-            return phi / phi.sum(1, keepdims=True)
-        source, sink = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        psi = np.concatenate([potentials, potentials.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        message = np.full((len(source), k), 1 / k)
-        for turn in range(rounds):
-            log = np.log(phi)
-            np.add.at(log, sink, np.log(message))
-            away = log[source] - np.log(message[back])
-            away = np.exp(away - away.max(1, keepdims=True))
-            new = np.einsum("ei,eij->ej", away, psi) + 1e-300
-            new /= new.sum(1, keepdims=True)
-            change = np.abs(new - message).max()
-            message = new if turn < 12 else 0.5 * new + 0.5 * message  # damped where loops keep it from settling
-            if change < tolerance:
-                break
-        belief = np.log(phi)
-        np.add.at(belief, sink, np.log(message))
-        belief = np.exp(belief - belief.max(1, keepdims=True))
+        node = np.maximum(unary - unary.max(1, keepdims=True), -690.0)
+        if len(edges):
+            source, sink = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+            psi = np.concatenate([potentials, potentials.transpose(0, 2, 1)])
+            back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+            message = np.full((len(source), k), 1 / k)
+            node = node + np.bincount(sink, minlength=n)[:, None] * np.log(1 / k)
+            act = np.arange(len(source))
+            for turn in range(rounds):
+                away = node[source[act]] - np.log(message[back[act]])
+                away = np.exp(away - away.max(1, keepdims=True))
+                new = np.einsum("ei,eij->ej", away, psi[act]) + 1e-300
+                new /= new.sum(1, keepdims=True)
+                if turn >= 12:
+                    new = 0.5 * new + 0.5 * message[act]  # damped where loops keep it from settling
+                moved = np.abs(new - message[act]).max(1) >= tolerance
+                np.add.at(node, sink[act], np.log(new) - np.log(message[act]))
+                message[act] = new
+                if not moved.any():
+                    break
+                again = np.zeros(len(source), bool)
+                again[act[moved]] = True
+                touched = np.zeros(n, bool)
+                touched[sink[act[moved]]] = True
+                act = np.flatnonzero(touched[source] | again)
+        belief = np.exp(node - node.max(1, keepdims=True))
         return belief / belief.sum(1, keepdims=True)
 
+    def to_hub(self) -> np.ndarray:
+        """Potentials between a token and the hidden node of its kind (equal, similar): two of them in a row are the potential of an edge."""
+        values, vectors = np.linalg.eigh(np.exp(self.skip[:, :, None] * np.eye(len(LABELS))))
+        return np.maximum((vectors * np.sqrt(np.maximum(values, 0))[:, None, :]) @ vectors.transpose(0, 2, 1), 1e-12)
+
     def label(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Label and its probability of each token."""
         gaps = np.array(t.gap, np.int64)
         chain = np.flatnonzero(gaps >= 0)
-        if not len(gaps):
+        n = len(gaps)
+        if not n:
             return gaps, np.zeros(0)
-        between = self.gap_potentials()[np.minimum(gaps[chain], LONGEST_GAP)]
-        edges = np.stack([chain - 1, chain], 1)
-        agree = np.exp(self.skip[:, :, None] * np.eye(len(LABELS)))
-        if t.skips:
-            s = np.array(t.skips)
-            edges, between = np.concatenate([edges, s[:, :2]]), np.concatenate([between, agree[s[:, 2]]])
-        p = self.marginals(self.unary(t.features), edges, between)
+        hubs, joins, stand = n, [], [g[0] for g in t.same]
+        for i, group in enumerate(t.same):
+            if len(group) > 1:
+                joins.extend((x, hubs, 0) for x in group)
+                stand[i], hubs = hubs, hubs + 1
+        for group in t.alike:
+            if len(group) > 1:
+                joins.extend((stand[i], hubs, 1) for i in group)
+                hubs += 1
+        edges, between = np.stack([chain - 1, chain], 1), self.gap_potentials()[np.minimum(gaps[chain], LONGEST_GAP)]
+        if joins:
+            s = np.array(joins)
+            edges, between = np.concatenate([edges, s[:, :2]]), np.concatenate([between, self.to_hub()[s[:, 2]]])
+        every, name = self.marginals(np.concatenate([self.unary(t.features), np.zeros((hubs - n, len(LABELS)))]), edges, between), LABELS.index("NAME")
+        p = every[:n]
         best = p.argmax(1)
-        sure = p[np.arange(len(p)), best]
-        return np.where((LABELS.index("NAME") == best) & (sure < SURE_NAME), 0, best), sure
+        sure = p[np.arange(n), best]
+        shared = np.zeros(n)
+        for group, at in zip(t.same, stand):
+            if at >= n:
+                shared[group] = every[at, name]
+        # a hidden node is sure of a name only where some mention has evidence of its own; then all mentions are the name
+        agreed = (shared >= SURE_NAME) & np.isin(best, (0, name)) & ((best == 0) | (sure < shared))
+        best, sure = np.where(agreed, name, best), np.where(agreed, shared, sure)
+        return np.where((best == name) & (sure < SURE_NAME), 0, best), sure
 
     def spans(self, column: pa.Array) -> Iterator[tuple[int, int, int, str, float]]:
         """(row, first byte, end byte, label, probability) of personal data in a column of texts; neighbouring tokens of one label are one span."""
@@ -387,6 +435,8 @@ def trained(texts: int = 1500, steps: int = 250, l2: float = 1e-3) -> SkipChainC
     o, name, bare = 0, LABELS.index("NAME"), w[index["capital"]] + w[index["bias"]]
     margin = bare[o] - bare[name] + 2 * tr[o, o] - tr[o, name] - tr[name, o]
     sk[:, name] = np.minimum(sk[:, name], sk[:, o] + NAME_AGREEMENT * max(0.0, margin))
+    # what counts is agreeing on a label rather than on none, so that many plain mentions don't outvote the one that tells
+    sk = np.maximum(sk - sk[:, [o]], 0)
     return SkipChainCrf(index, w, tr, sk)
 
 
@@ -416,7 +466,11 @@ def find_pii(docs: DataFrame, model: SkipChainCrf | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: SkipChainCrf | None = None) -> DataFrame:
-    """``docs`` with personal data replaced by its label in brackets, and n_chars (where there is one) made to fit; other texts and all other columns as they were."""
+    """``docs`` with personal data replaced by its label in brackets, and n_chars (where there is one) made to fit; other texts and all other columns as they were.
+
+    Null and empty texts and rows with a null id go through like others; repeated rows are
+    redacted alike; an empty table stays empty.
+    """
     model = model or trained()
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

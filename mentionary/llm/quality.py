@@ -139,7 +139,7 @@ def _pair_tree(g: np.ndarray, h: np.ndarray, reg: float) -> tuple[np.ndarray, fl
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.1, depth: int = 2, bins: int = 32, coarse: int = 8, pairs: int = 5, reg: float = 1.0, holdout: float = 0.15) -> AdditiveModel:
-    """Boost main effects, then ``pairs`` interactions; the held-out part chooses the number of rounds and the threshold.
+    """Boost main effects, then ``pairs`` interactions; the held-out part chooses the number of rounds. The threshold is 0.5.
 
     With no rows, or rows of one class, the model is the (smoothed) prior alone.
     """

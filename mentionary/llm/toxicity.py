@@ -202,7 +202,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows
 
     The sampled ids are few and bounded, so they are broadcast to the one scan that
     fetches their texts; features are made and counted where the texts are, and only the
-    chosen ones reach the driver. Null labels, ids and texts are left out; a repeated id
+    chosen ones reach the driver: the ``features`` that tell most of those in ``min_rows``
+    sampled texts or more (the model's size, a bound on what is fitted; no text is cut).
+    The threshold has the fewest wrong decisions on the sample itself. Null labels, ids and texts are left out; a repeated id
     counts once in the sample, with its highest label, and with each of its texts.
     """
     y = labels.where(labels[label_col].isNotNull() & labels["doc_id"].isNotNull()).groupBy(labels["doc_id"].cast("long").alias("_id")).agg(F.max((labels[label_col] > 0).cast("int")).alias("_y"))

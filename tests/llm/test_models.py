@@ -22,6 +22,23 @@ def test_additive_score_is_the_sum_of_bins_and_learns_an_interaction():
         assert s == pytest.approx(m.score(x[:5])[i])
 
 
+def test_first_cuts_of_the_trees_equal_those_of_all_cuts_tried():
+    r = np.random.default_rng(9)
+    for _ in range(20):
+        g, h = r.normal(size=12), r.random(12) + 0.1
+        value = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)  # noqa: B023, E731
+        best = max(value(0, c) + value(c, 12) for c in range(1, 12))
+        tree = quality._tree(g, h, 1, 1.0)
+        cut = np.flatnonzero(np.diff(tree)) + 1
+        got = value(0, int(cut[0])) + value(int(cut[0]), 12) if len(cut) else value(0, 12)
+        assert got == pytest.approx(max(best, value(0, 12)))
+        g2, h2 = r.normal(size=(4, 5)), r.random((4, 5)) + 0.1
+        block = lambda rows, cols: g2[rows, cols].sum() ** 2 / (h2[rows, cols].sum() + 1)  # noqa: B023, E731
+        whole = g2.sum() ** 2 / (h2.sum() + 1)
+        gains = [sum(block(a, b) for a in (slice(0, i), slice(i, None)) for b in (slice(0, j), slice(j, None))) - whole for i in range(1, 4) for j in range(1, 5)]
+        assert quality._pair_tree(g2, h2, 1.0)[1] == pytest.approx(max(gains))
+
+
 def test_quality_features_by_counting():
     text = "The cat.\nThe cat.\nAB 12 !! |"
     f = dict(zip(quality.FEATURES, quality.text_features(pa.array([text, None, ""]))[0]))
@@ -79,6 +96,44 @@ def test_counterfactual_penalty_levels_the_scores_of_groups_and_keeps_accuracy()
     assert np.mean((fair.score(pa.array(test)) >= fair.threshold)[insult]) > 0.95
 
 
+def test_optimum_of_the_penalised_loss_by_dense_coordinates():
+    """At the solution no coordinate, changed either way, lowers loss + penalty + L1, worked out on dense matrices."""
+    r = np.random.default_rng(3)
+    n, k = 80, 6
+    x = (r.random((n, k)) < 0.4).astype(float)
+    y = (r.random(n) < 1 / (1 + np.exp(-(2 * x[:, 0] - 2 * x[:, 1])))).astype(float)
+    gained, lost = r.integers(0, k, 30), r.integers(0, k, 30)
+    swaps = [np.array([g, -1 - v], np.int32) for g, v in zip(gained, lost)]
+    model = toxicity.optimise(y, [np.flatnonzero(row).astype(np.int32) for row in x], swaps, np.arange(k), pairs_weight=1.5, l1=1e-3, steps=6000)
+    w = np.zeros(k)
+    w[model.features] = model.weights
+    d = np.zeros((30, k))
+    for i, (g, v) in enumerate(zip(gained, lost)):
+        d[i, g] += 1
+        d[i, v] -= 1
+    share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
+
+    def total(w, b):
+        s = x @ w + b
+        return float(share @ np.logaddexp(0, np.where(y > 0, -s, s)) + 1.5 * np.mean((d @ w) ** 2) + 1e-3 * np.abs(w).sum())
+
+    at = total(w, model.intercept)
+    for j in range(k):
+        for step in (-0.02, 0.02):
+            e = w.copy()
+            e[j] += step
+            assert total(e, model.intercept) >= at - 1e-6
+    assert total(w, model.intercept + 0.02) >= at - 1e-6 and total(w, model.intercept - 0.02) >= at - 1e-6
+
+
+def test_fit_and_train_are_the_same(spark):
+    texts, y = labelled(300, 5)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int")
+    one, two = toxicity.fit(texts, y), toxicity.train(docs, labels)
+    assert np.allclose(one.score(pa.array(texts)), two.score(pa.array(texts)), atol=1e-6) and one.threshold == pytest.approx(two.threshold, abs=1e-6)
+
+
 def test_counterfactuals_swap_terms_of_a_kind():
     before, after = toxicity.counterfactuals(["Old women sing. No term here."])
     assert set(before) == {"old women sing."} and "young women sing." in after and "old men sing." in after and len(before) == 4 + 5
@@ -206,6 +261,30 @@ def test_messages_are_exact_on_trees():
     assert np.allclose(m.marginals(unary, edges, psi), total / total.sum(1, keepdims=True), atol=1e-6)
 
 
+def test_two_steps_over_a_hub_are_an_edge_and_loops_come_near_the_truth():
+    m = pii.trained()
+    k = len(pii.LABELS)
+    b = m.to_hub()
+    assert np.allclose(b @ b, np.exp(m.skip[:, :, None] * np.eye(k)), rtol=1e-6, atol=1e-9) and (b > 0).all()
+    r = np.random.default_rng(4)
+    unary, edges = r.normal(size=(4, k)), np.array([[0, 1], [1, 2], [2, 3], [0, 3]])
+    psi = np.exp(0.3 * r.normal(size=(4, k, k)))
+    total = np.zeros((4, k))
+    for y in itertools.product(range(k), repeat=4):
+        p = math.exp(sum(unary[i, v] for i, v in enumerate(y))) * np.prod([psi[e, y[i], y[j]] for e, (i, j) in enumerate(edges)])
+        for i, v in enumerate(y):
+            total[i, v] += p
+    assert np.abs(m.marginals(unary, edges, psi) - total / total.sum(1, keepdims=True)).max() < 0.02
+
+
+def test_evidence_reaches_a_mention_whatever_lies_between():
+    m = pii.trained()
+    between = " ".join(f"and the Word{chr(97 + i % 26)}{chr(97 + i // 26)}x of" for i in range(500))
+    text = f"it met Dr. Quillfeather then {between} and the for Quillfeather again"
+    found = [text.encode()[a:b].decode() for _, a, b, label, _ in m.spans(pa.array([text])) if label == "NAME"]
+    assert found == ["Quillfeather"] * 2
+
+
 def test_a_stretch_of_plain_words_is_a_power_of_the_transition():
     m = pii.trained()
     g = m.gap_potentials()
@@ -246,4 +325,6 @@ def test_redaction_changes_only_what_is_private(spark, awkward, nothing):
     assert pii.redact(nothing).count() == 0 and pii.find_pii(nothing).count() == 0
     rows = pii.find_pii(docs).collect()
     assert {text[r.start : r.end] for r in rows} == {"bo.12@post3.example.com", "+1 (415) 555-2671", "10.20.30.40", "4111111111111111"}
-    pii.find_pii(awkward).collect()
+    assert pii.find_pii(awkward).count() == 0
+    twice = awkward.sparkSession.createDataFrame([(None, "mail bo.12@post3.example.com", 1), (None, "mail bo.12@post3.example.com", 2)], "doc_id long, text string, label int")
+    assert [(r.doc_id, r.label) for r in pii.find_pii(twice).collect()] == [(None, "EMAIL")] * 2

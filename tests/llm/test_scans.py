@@ -136,3 +136,36 @@ def test_pages_are_html_unless_they_are_cut_off(spark, sf):
         whole = re.match(r"\s*<(?:!doctype )?html", p.html, re.I) and re.search(r"</(?:html|body)\s*>\s*$", p.html, re.I)
         assert (rows[p.page_id].sniffed == "text/html") == bool(whole) and rows[p.page_id].length == len(p.html.encode())
     assert sum(r.sniffed == "text/html" for r in rows.values()) > len(rows) / 2
+
+
+def test_a_page_may_be_followed_by_any_space_and_uris_may_be_nested_deep():
+    page = b"<html><body>x</body></html>" + b" " * 600
+    assert [r[3:5] for r in media.sniff(page, "text/html")] == [("text/html", "kept")]
+    inner = b"GIF89a\x01\x00\x01\x00\x00\x00\x00;"
+    blob = inner
+    for _ in range(5):
+        blob = b"see data:text/plain;base64," + base64.b64encode(blob) + b" there"
+    assert [r[3] for r in media.sniff(blob, None)][-1] == "image/gif"
+
+
+def test_archives_with_many_entries_are_gone_through_once():
+    import io
+    import time
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(3000):
+            z.writestr(f"f{i}", "x" * 50)
+    blob = b"before " + out.getvalue()
+    start = time.time()
+    assert [(r[0], r[1], r[3]) for r in media.sniff(blob, None)][1:] == [(7, len(blob) - 7, "application/zip")]
+    assert list(media.objects(blob[:-30])) == [] and time.time() - start < 5
+
+
+def test_pages_of_awkward_tables(spark):
+    rows = [(1, None, "<html></html>", 1), (1, None, "<html></html>", 1), (None, "a.png", None, 2), (2, "http://x/a.PNG?q=1", "", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, at int")
+    got = sorted(((r.media_id or 0), r.declared or "", r.action) for r in media.page_media(pages).collect())
+    assert got == [(0, "image/png", "missing"), (1, "", "corrected"), (1, "", "corrected"), (2, "image/png", "empty")]
+    assert media.page_media(pages.where("false")).count() == 0

@@ -293,3 +293,14 @@ def test_decontamination_of_awkward_tables(awkward, nothing, spark):
     assert decontam.find_leaks(nothing, bench).count() == 0 and decontam.find_leaks(awkward, bench.where("false")).count() == 0
     kept = decontam.drop_leaked(awkward, bench)
     assert kept.columns == awkward.columns and kept.count() == awkward.count() - 2
+
+
+def test_of_overlapping_findings_one_stays_however_many_lie_between():
+    found = [(0, 1, 0, 100, 3)] + [(0, 1, 1000 + 200 * i, 1100 + 200 * i, 1) for i in range(60)] + [(0, 1, 5, 105, 4), (0, 2, 5, 105, 4), (1, 1, 5, 105, 4)]
+    kept = decontam._best(found)
+    assert (0, 1, 0, 100, 3) in kept and (0, 1, 5, 105, 4) not in kept and (0, 2, 5, 105, 4) in kept and (1, 1, 5, 105, 4) in kept and len(kept) == 63
+
+
+def test_items_of_every_length_have_their_whole_budget():
+    index = decontam.Index.build(list(range(40)), ["abcdefghij klmnopqrs tuvwxyz ABCDE fghij klmno pqrst"[: 24 + i].rstrip() + "z" for i in range(40)])
+    assert (index.budget == np.floor(index.size * decontam.RATE + 1e-9)).all() and (index.bound >= 1).all()
