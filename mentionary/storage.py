@@ -29,7 +29,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``written`` from which everything has been made that will be; other tables are left alone."""
+    path = getattr(table, "_written_to", None)
+    if path:
+        _delete(table.sparkSession, path)
 
 
 #: Bytes of a table for each core under which it is small: moving it costs little beside work on its texts.
@@ -60,6 +74,4 @@ def spread(df: DataFrame) -> DataFrame:
 
 def clear(spark: SparkSession) -> None:
     """Delete what this application wrote; call it when no result is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
