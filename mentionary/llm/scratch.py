@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import clear, scanned, shared_folder, spread, written
+from ..storage import clear, discard, scanned, shared_folder, spread, written
 
-__all__ = ["clear", "first_by_hash", "scanned", "shared_folder", "text_pass", "written"]
+__all__ = ["clear", "discard", "first_by_hash", "scanned", "shared_folder", "text_pass", "written"]
 
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
