@@ -1,7 +1,10 @@
 """The training-corpus pipeline: stages from ``documents`` to token ids.
 
 Each stage is (name, function of (spark, docs, sf_dir)); ``run`` writes every stage's
-result to the shared folder and reads it again as the next stage's ``docs``.
+result to the shared folder and reads it again as the next stage's ``docs``. In all
+stages rows with a null id or text and empty texts pass through (a text without an id is
+still judged for what it holds), repeated rows share one fate, an empty table stays
+empty, and columns besides doc_id, text and n_chars are handed on as they are.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mentionary.llm import bpe, decontam, near_dup, pii, toxicity
 from mentionary.llm.queries import VOCABULARY, table
-from mentionary.llm.scratch import written
+from mentionary.llm.scratch import discard, written
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
