@@ -86,13 +86,22 @@ def agglomerate(
     key = lambda a, b: (a, b) if a <= b else (b, a)
     edges = sorted(((w, *k) for k, w in weights.items()), key=lambda e: (-e[0], e[1], e[2]))
     sets = DisjointSet(x for k in weights for x in k)
+    linked: dict = {x: {} for k in weights for x in k}  # between sets, by their roots, the number of pairs that are linked and compatible
+    for a, b in weights:
+        if a != b and compatible(a, b):
+            linked[a][b] = linked[b][a] = 1
     for _, a, b in edges:
-        if sets.find(a) == sets.find(b):
+        one, two = sets.find(a), sets.find(b)
+        if one == two:
             continue
-        left, right = sets.members(a), sets.members(b)
-        linked = sum(compatible(x, y) and key(x, y) in weights for x in left for y in right)
-        if linked / (len(left) * len(right)) >= strictness:
+        if linked[one].get(two, 0) / (sets.size(a) * sets.size(b)) >= strictness:
             sets.join(a, b)
+            root = sets.find(a)
+            for c, n in linked.pop(two if root == one else one).items():
+                if c != root:
+                    del linked[c][two if root == one else one]
+                    linked[root][c] = linked[c][root] = linked[root].get(c, 0) + n
+            linked[root].pop(two if root == one else one, None)
             if complete and (complete(a, 6) | complete(b, 6)):
                 break
     if mop_up:

@@ -166,7 +166,7 @@ def link_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def resolve_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted, cands = _linked(spark, sf_dir)
-    return resolve.resolve(cands, resolve.context_links(weighted).unionByName(resolve.direct_links(weighted, cands)))
+    return resolve.resolve(cands, weighted)
 
 
 _DIGEST = _LINKS + """,

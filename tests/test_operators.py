@@ -368,3 +368,51 @@ def test_linking_reads_documents(name, spark, sf):
     want = con.execute(sql).df()
     got = entry.queries()[name](spark, sf).toPandas()[list(want.columns)]
     assert len(want) and sorted(map(repr, got.itertuples(index=False, name=None))) == sorted(map(repr, want.itertuples(index=False, name=None)))
+
+
+def test_links_by_groups_and_matrices_equal_those_row_by_row(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(1)
+    rows = [(d, s, a, 10 * s + p, 10 * s + p, f"f{r.randrange(4)}", t, r.choice([1.0, 0.5]), r.choice([0.2, 0.4])) for d in (1, 2) for s in range(4) for a in range(2) for p in range(a + 1) for t in r.sample("ABCDE", 3)]
+    cands = spark.createDataFrame(rows, "doc long, site long, alternative int, start int, `end` int, form string, topic string, alt_weight double, topic_weight double")
+    near = spark.createDataFrame([(t, c, 0.1 + 0.1 * i) for i, t in enumerate("ABCDE") for c in ("A", "C", "x", "y")], "topic string, context string, weight double")
+    weighted = resolve.context_weights(cands, near)
+    links = resolve.context_links(weighted).unionByName(resolve.direct_links(weighted, cands))
+    flat = links.toPandas()
+    got = {(x.doc, x.topic1, x.topic2): (x.n, round(x.weight, 9)) for x in resolve.all_topic_links(weighted, cands).groupBy("doc", "topic1", "topic2").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).collect()}
+    assert got == {k: (len(g), round(g["weight"].sum(), 9)) for k, g in flat.groupby(["doc", "topic1", "topic2"])}
+    ends = ["site", "alternative", "start", "topic"]
+    want: dict = {}
+    for x in flat.to_dict("records"):
+        for k in "12":
+            key = (x["doc"], *(x[c + k] for c in ends))
+            want[key] = want.get(key, 0) + x["weight"]
+    scores = {(x.doc, x.site, x.alternative, x.start, x.topic): x.score for x in resolve.candidate_scores(weighted, cands).collect()}
+    assert scores.keys() == want.keys() and all(abs(scores[k] - want[k]) < 1e-9 for k in want)
+    c = cands.where("doc = 1").toPandas().sort_values(resolve._ORDER).reset_index(drop=True)
+    a, b = resolve._linked_by(c, flat[flat["doc"] == 1]), resolve._linked_in(c, weighted.where("doc = 1").toPandas())
+    assert np.allclose(a, b) and a.any()
+    out = {tuple(x)[1:] for x in resolve.resolve(cands, weighted).where("doc = 1").collect()}
+    assert out == {tuple(x) for x in resolve.prune(c, flat[flat["doc"] == 1]).itertuples(index=False)}
+
+
+def test_merging_sets_equals_counting_all_their_pairs():
+    import random
+
+    for seed in range(30):
+        r = random.Random(seed)
+        weights = {(a, b): r.random() for a in range(9) for b in range(a + 1, 9) if r.random() < 0.5}
+        fits = lambda a, b: (a + b) % 5 != 0
+        got, _ = clustering.agglomerate(weights, 0.6, fits)
+        root = {x: {x} for k in weights for x in k}
+        for (a, b), _ in sorted(weights.items(), key=lambda e: (-e[1], e[0])):
+            if root[a] is not root[b]:
+                n = sum(fits(x, y) and (min(x, y), max(x, y)) in weights for x in root[a] for y in root[b])
+                if n / (len(root[a]) * len(root[b])) >= 0.6:
+                    both = root[a] | root[b]
+                    for x in both:
+                        root[x] = both
+        assert sorted(map(sorted, got)) == sorted(sorted(s) for s in {frozenset(s) for s in root.values()} if len(s) > 1)
