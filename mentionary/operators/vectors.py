@@ -97,9 +97,9 @@ def ranked_groups(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("r", rank).groupBy("doc", "group_id").agg(F.avg("r").alias("mean_rank"), F.count("*").alias("size"))
 
 
-def grid(df: DataFrame, order: list, columns: int = 5, by: str = "doc") -> DataFrame:
-    """(row, col) of each item in its document's table of ``columns`` columns."""
-    i = F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1
+def grid(df: DataFrame, order: list, columns: int = 5, by: str | None = None) -> DataFrame:
+    """(row, col) of each item in a table of ``columns`` columns for each value of ``by``; without it ``df`` is one document's few items."""
+    i = F.row_number().over((W.partitionBy(by) if by else W).orderBy(*order)) - 1
     return df.withColumn("row", F.floor(i / columns).cast("int")).withColumn("col", (i % columns).cast("int"))
 
 
