@@ -208,7 +208,8 @@ FORMATS: tuple[tuple[str, bytes, int, Callable[[bytes, int], int | None]], ...]
     ("text/html", b"<!DOCTYPE html", 0, _html), ("text/html", b"<!doctype html", 0, _html), ("text/html", b"<html", 0, _html),
 )
 _RIFF = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-msvideo"}
-_URI = re.compile(rb"data:([\w.+-]+/[\w.+-]+)?(?:;[\w=.-]+)*;base64,([A-Za-z0-9+/\s]*={0,2})")
+#: Line breaks may cut the base64; another blank ends it.
+_URI = re.compile(rb"data:([\w.+-]+/[\w.+-]+)?(?:;[\w=.-]+)*;base64,([A-Za-z0-9+/]*(?:[ \t]*[\r\n]\s*[A-Za-z0-9+/]+)*(?:(?:[ \t]*[\r\n]\s*)?=){0,2})")
 
 
 @lru_cache(maxsize=1)
@@ -242,6 +243,16 @@ def objects(blob: bytes) -> list[tuple[int, int, str]]:
     return sorted(out + uris)
 
 
+def _decoded(payload: bytes) -> bytes | None:
+    """Bytes of base64 that lines may cut; where the lines together can't be read, those of the first line, which other text follows."""
+    for part in (re.sub(rb"\s", b"", payload), (payload.split() or [b""])[0]):
+        try:
+            return base64.b64decode(part, validate=True)
+        except (binascii.Error, ValueError):
+            continue
+    return None
+
+
 def sniff(blob: bytes | None, declared: str | None, offset: int = 0, nested: bool = False) -> Iterator[tuple]:
     """Rows (at, length, declared, sniffed, action, nested) of one blob, and of what its data URIs hold, however deep. ``at`` of what a data URI holds is the URI's place."""
     said = declared.strip().lower().partition(";")[0] if declared else None
@@ -260,9 +271,8 @@ def sniff(blob: bytes | None, declared: str | None, offset: int = 0, nested: boo
         if n < 0:
             m = _URI.match(blob, at)
             if m:
-                try:
-                    inner = base64.b64decode(re.sub(rb"\s", b"", m[2]), validate=True)
-                except (binascii.Error, ValueError):
+                inner = _decoded(m[2])
+                if inner is None:
                     yield offset + at, m.end() - at, m[1].decode("latin-1") if m[1] else None, None, "broken", True
                     continue
                 yield from sniff(inner, m[1].decode("latin-1") if m[1] else None, offset + at, True)
