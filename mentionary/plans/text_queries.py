@@ -239,7 +239,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT doc_id, len(w)::INT AS words, list_sum(list_transform(w, lambda x: octet_length(encode(x))))::BIGINT AS bytes FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\x0B]+'), lambda x: x <> '' AND octet_length(encode(x)) <= 8192) AS w FROM documents)")
 def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "documents").select("doc_id", markup.word_list("text").alias("w"))
-    return w.select("doc_id", F.size("w").alias("words"), F.aggregate("w", F.lit(0).cast("bigint"), lambda s, x: s + F.octet_length(x)).alias("bytes"))
+    return w.select("doc_id", F.size("w").alias("words"), F.when(F.size("w") > 0, F.aggregate("w", F.lit(0).cast("bigint"), lambda s, x: s + F.octet_length(x))).alias("bytes"))
 
 
 @query("SELECT page_id, regexp_replace(url, '[^\\x00-\\x7F]', '', 'g') AS ascii, length(url) - length(replace(url, '/', '')) AS slashes FROM pages")
