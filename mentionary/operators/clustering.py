@@ -151,15 +151,20 @@ def complete_linkage(distances: dict[tuple, float], crop: float) -> list[list]:
     return sorted(sorted(g) for g in groups.values())
 
 
+def groups_of(weights: dict[tuple, float], strictness: float, mop_up: bool) -> dict:
+    """Each linked topic's cluster, -1 for those in no coherent one, topics in order; ``weights`` has smaller ends first."""
+    clusters, _ = agglomerate(weights, strictness, mop_up=mop_up)
+    group = {x: i for i, c in enumerate(clusters) for x in c}
+    return {t: group.get(t, -1) for t in sorted({x for k in weights for x in k})}
+
+
 def cluster_topics(links: DataFrame, strictness: float = 0.7, mop_up: bool = False) -> DataFrame:
     """(doc, topic, group_id) of each document's linked topics (doc, a, b, weight), -1 for those in no coherent cluster."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         weights = {(min(a, b), max(a, b)): w for a, b, w in zip(pdf["a"], pdf["b"], pdf["weight"])}
-        clusters, _ = agglomerate(weights, strictness, mop_up=mop_up)
-        group = {x: i for i, c in enumerate(clusters) for x in c}
-        topics = sorted({x for k in weights for x in k})
-        return pd.DataFrame({"doc": pdf["doc"].iloc[0], "topic": topics, "group_id": [group.get(t, -1) for t in topics]})
+        group = groups_of(weights, strictness, mop_up)
+        return pd.DataFrame({"doc": pdf["doc"].iloc[0], "topic": list(group), "group_id": list(group.values())})
 
     kind = links.schema["a"].dataType.simpleString()
     return links.select("doc", "a", "b", "weight").groupBy("doc").applyInPandas(one, f"doc {links.schema['doc'].dataType.simpleString()}, topic {kind}, group_id int")

@@ -7,6 +7,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from mentionary.operators import profiles
 from test_oracle import TABLES
 
 
@@ -44,3 +45,28 @@ def test_words_beyond_the_3000th_are_linked(equal):
 
 def test_blank_texts_have_no_bytes_and_a_dotted_capital_is_one_character(equal):
     equal("word_lists", documents={"doc_id": [1, 2, 3, 4, 5], "text": ["", " \t", "a" * 9000, "İzmir İ", None]})
+
+
+LINKING = ["mentions", "mention_sites", "site_alternatives", "candidate_weights", "context_links", "direct_links", "candidate_scores", "link_consistency", "digest_topics", "digest_links", "digest_groups", "output_groups"]
+
+
+@pytest.fixture(scope="module")
+def overlapping(tmp_path_factory, sf):
+    """Pages and documents with forms of several words that overlap."""
+    at = tmp_path_factory.mktemp("overlapping")
+    names = ["alpha", "alpha beta", "beta", "beta gamma", "gamma delta alpha", "delta", "2024", "delta 7", "gamma"]
+    anchor = lambda i, n: f'<a href="/T{i}">{n}</a>'
+    pages = [" ".join(anchor(i if (i + k) % 4 else i + 1, n) for i, n in enumerate(names) if (i * 7 + k) % 3) for k in range(12)]
+    words = "alpha beta gamma delta 2024 7 other".split()
+    texts = [" ".join(words[(i * i + i * k + k) % (7 - (k % 3 == 0))] for i in range(3 + 5 * k)) for k in range(9)] + ["", None, "alpha", "other 7", "alpha x alpha x delta"]
+    for t in TABLES:
+        own = {"pages": {"page_id": list(range(12)), "url": [f"p{k}" for k in range(12)], "html": pages}, "documents": {"doc_id": list(range(len(texts))), "text": texts}}.get(t)
+        pq.write_table(pa.table(own), at / f"{t}.parquet") if own else os.symlink(f"{sf}/{t}.parquet", at / f"{t}.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", LINKING)
+def test_linking_by_classes_equals_linking_by_mentions(name, spark, overlapping, monkeypatch):
+    fast = rows(entry.queries()[name](spark, overlapping).toArrow())
+    monkeypatch.setattr(profiles, "MOST_FORMS", 0)
+    assert fast and fast == rows(entry.queries()[name](spark, overlapping).toArrow())
