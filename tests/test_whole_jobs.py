@@ -70,3 +70,22 @@ def test_linking_by_classes_equals_linking_by_mentions(name, spark, overlapping,
     fast = rows(entry.queries()[name](spark, overlapping).toArrow())
     monkeypatch.setattr(profiles, "MOST_FORMS", 0)
     assert fast and fast == rows(entry.queries()[name](spark, overlapping).toArrow())
+
+
+TURNS = ["the small harbour lights were burning over water when evening boats returned " * 2 + str(k % 3) for k in range(7)] + ["another story of mountains with forests and rivers where winter stays longer than anywhere else in that quiet land " + w for w in ("one", "two", "two")]
+
+
+@pytest.mark.parametrize("name", ["cosine_pairs", "tv_match"])
+def test_copies_are_one_class_and_all_links_count(name, equal):
+    got = equal(name, conversations={"conv_id": list(range(len(TURNS))), "turn": [1] * len(TURNS), "role": ["user"] * len(TURNS), "text": TURNS})
+    assert got["class"].nunique() < len(got) and got["links"].max() > 2
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_links_do_not_depend_on_the_blocks(cut, spark, sf):
+    from mentionary.operators import vectors
+    from mentionary.plans.match_queries import _vectors
+
+    v = _vectors(spark, sf)
+    one, many = (sorted(map(tuple, vectors.links(v, 0.1, cut, size).collect())) for size in (10_000, 3))
+    assert one == many
