@@ -67,6 +67,7 @@ def scc(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     Nodes that can't be in a cycle are trimmed; then the smallest label that reaches a
     node spreads forward, and a component is what its label's node can be reached from
     among nodes of that label. Each round removes at least one component per colour.
+    No side of a join is broadcast, as that would send it to the driver in every round.
     """
     left = written(edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct(), "scc-edges")
     nodes = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).where("node is not null").distinct(), "scc-nodes")
@@ -76,26 +77,26 @@ def scc(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         if colour.isEmpty():
             break
         while True:
-            step = colour.join(left.select("a", F.col("b").alias("to")), colour["node"] == F.col("a")).groupBy(F.col("to").alias("node")).agg(F.min("c").alias("n"))
-            new = written(colour.join(step, "node", "left").select("node", F.least("c", "n").alias("c")), "scc-colour")
-            moved = new.join(colour.withColumnRenamed("c", "o"), "node").where("c <> o").isEmpty()
+            step = colour.join(left.select("a", F.col("b").alias("to")).hint("merge"), colour["node"] == F.col("a")).groupBy(F.col("to").alias("node")).agg(F.min("c").alias("n"))
+            new = written(colour.join(step.hint("merge"), "node", "left").select("node", F.least("c", "n").alias("c")), "scc-colour")
+            moved = new.join(colour.withColumnRenamed("c", "o").hint("merge"), "node").where("c <> o").isEmpty()
             colour = new
             if moved:
                 break
-        inside = written(left.join(colour.withColumnsRenamed({"node": "a", "c": "ca"}), "a").join(colour.withColumnsRenamed({"node": "b", "c": "cb"}), "b").where("ca = cb").select("a", "b", F.col("ca").alias("c")), "scc-inside")
+        inside = written(left.join(colour.withColumnsRenamed({"node": "a", "c": "ca"}).hint("merge"), "a").join(colour.withColumnsRenamed({"node": "b", "c": "cb"}).hint("merge"), "b").where("ca = cb").select("a", "b", F.col("ca").alias("c")), "scc-inside")
         got = written(colour.where("node = c"), "scc-got")
         front = got
         while True:
-            front = written(inside.join(front.select(F.col("node").alias("b"), "c"), ["b", "c"]).select(F.col("a").alias("node"), "c").distinct().join(got, ["node", "c"], "left_anti"), "scc-front")
+            front = written(inside.join(front.select(F.col("node").alias("b"), "c").hint("merge"), ["b", "c"]).select(F.col("a").alias("node"), "c").distinct().join(got.hint("merge"), ["node", "c"], "left_anti"), "scc-front")
             if front.isEmpty():
                 break
             got = written(got.unionByName(front), "scc-got")
         part = got.select("node", F.col("c").alias("component"))
         done = part if done is None else written(done.unionByName(part), "scc-done")
-        left = written(left.join(part.select(F.col("node").alias("a")), "a", "left_anti").join(part.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"), "scc-edges")
+        left = written(left.join(part.select(F.col("node").alias("a")).hint("merge"), "a", "left_anti").join(part.select(F.col("node").alias("b")).hint("merge"), "b", "left_anti").select("a", "b"), "scc-edges")
     if done is None:
         return nodes.select("node", F.col("node").alias("component"))
-    return done.unionByName(nodes.join(done, "node", "left_anti").select("node", F.col("node").alias("component")))
+    return done.unionByName(nodes.join(done.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
 def louvain_levels(edges: Iterable[tuple], epsilon: float = 1e-6, seed: int = 0) -> list[dict]:

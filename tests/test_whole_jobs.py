@@ -99,3 +99,18 @@ def test_explained_topics_stand_for_all_pairs(equal):
 
 def test_streamed_positions_count_other_users_searches(equal):
     equal("stream_matches", customer={"c_custkey": [1, 2, 3, 4], "c_nationkey": [7, 8, None, 9]}, supplier={"s_suppkey": [1, 2, 3, 4], "s_nationkey": [7, 7, 8, None]})
+
+
+def test_strong_components_send_no_table_to_the_driver(spark, monkeypatch):
+    from mentionary.operators import graphs
+
+    plans, write = [], graphs.written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(graphs, "written", written)
+    got = graphs.scc(spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 3)]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
