@@ -1,13 +1,15 @@
 """Queries against their SQL on rows that the given tables lack, and against brute force."""
 
 import os
+import random
 
 import __spark_entry__ as entry
 import duckdb
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from mentionary.operators import profiles
+from mentionary.operators import profiles, resolve
 from test_oracle import TABLES
 
 
@@ -114,3 +116,60 @@ def test_strong_components_send_no_table_to_the_driver(spark, monkeypatch):
     got = graphs.scc(spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "a long, b long"))
     assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 3)]
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def _linked_document(rng):
+    """Candidates of a document whose sites repeat, and these by context; all weights are such that sums are exact."""
+    topics = [f"t{i}" for i in range(rng.randint(2, 8))]
+    eighths = lambda: rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 12]) / 8
+    kinds = []
+    for k in range(rng.randint(1, 6)):
+        own = [(0, 0, 0, t) for t in rng.sample(topics, rng.randint(1, min(3, len(topics))))]
+        if rng.random() < 0.4:
+            own = [(a, 2 * s, 2 * s + 1 - a % 2, t) for a in range(rng.randint(1, 3)) for s in range(rng.randint(1, 2)) for t in rng.sample(topics, rng.randint(1, 2))]
+        weight = {a: eighths() for a, *_ in own}
+        kinds.append([(a, s, e, f"f{k}{a}{s}", t, weight[a], eighths()) for a, s, e, t in own])
+    near = {t: {x: eighths() for x in rng.sample([*topics, "x", "y", "z"], rng.randint(1, 4))} for t in topics}
+    sites = [rng.choice(kinds) for _ in range(rng.randint(1, 25))]
+    cands = [(1, n + 1, a, 10 * n + s, 10 * n + e, f, t, x, y) for n, own in enumerate(sites) for a, s, e, f, t, x, y in own]
+    weighted = [(*c[:4], c[6], v, c[7] * c[8] * w) for c in cands for v, w in near[c[6]].items()]
+    return pd.DataFrame(cands, columns=["doc", "site", "alternative", "start", "end", "form", "topic", "alt_weight", "topic_weight"]), pd.DataFrame(weighted, columns=["doc", "site", "alternative", "start", "topic", "context", "w"])
+
+
+def test_pruning_by_classes_equals_pruning_by_mentions():
+    for seed in range(300):
+        rng = random.Random(seed)
+        cands, weighted = _linked_document(rng)
+        strictness = rng.choice([0.99, 0.9, 0.5])
+        cands = cands.sort_values(resolve._ORDER).reset_index(drop=True)
+        all_pairs = resolve.between(cands, weighted)
+        site, alt, start = (cands[c].to_numpy()[:, None] for c in ("site", "alternative", "start"))
+        all_pairs[(site == site.T) & ((alt != alt.T) | (start == start.T))] = 0
+        want = resolve._prune(cands, all_pairs, strictness)
+        got = resolve.resolved(cands, weighted, strictness)
+        assert [tuple(r) for r in got.itertuples(index=False)] == [tuple(r) for r in want.itertuples(index=False)]
+
+
+def test_a_document_of_many_mentions_is_resolved_by_its_classes():
+    """10,000 mentions, whose pairs would take some 800 MB and minutes."""
+    n, topics = 10_000, ["a", "b", "c", "d"]
+    cands = pd.DataFrame([(1, s, 0, s, s, f"f{s % 3}", t, 1.0, 0.5) for s in range(n) for t in [topics[s % 3]] + ["d"] * (s % 3 == 0)], columns=["doc", "site", "alternative", "start", "end", "form", "topic", "alt_weight", "topic_weight"])
+    weighted = cands.assign(context="x", w=0.25)
+    got = resolve.resolved(cands, weighted, 0.99)
+    assert len(got) == n and got["site"].is_unique
+
+
+def test_resolution_by_profiles_equals_resolution_by_mentions(spark, overlapping, tmp_path, monkeypatch):
+    for t in TABLES:
+        if t == "documents":
+            pq.write_table(pa.table({"doc_id": [1, 2, 3], "text": ["new x york alpha gamma", "alpha beta gamma delta alpha alpha new york", "new york"]}), tmp_path / f"{t}.parquet")
+        elif t == "pages":
+            html = " ".join(f'<a href="/T{i}">{n}</a>' for i, n in enumerate(["alpha", "gamma", "new york", "delta"]))
+            pq.write_table(pa.table({"page_id": list(range(4)), "url": [f"p{k}" for k in range(4)], "html": [html] * 4}), tmp_path / f"{t}.parquet")
+        else:
+            os.symlink(f"{overlapping}/{t}.parquet", tmp_path / f"{t}.parquet")
+    fast = rows(entry.queries()["resolve_mentions"](spark, str(tmp_path)).toArrow())
+    readings = rows(entry.queries()["site_alternatives"](spark, str(tmp_path)).toArrow())
+    monkeypatch.setattr(profiles, "MOST_FORMS", 0)
+    assert fast and fast == rows(entry.queries()["resolve_mentions"](spark, str(tmp_path)).toArrow())
+    assert readings == rows(entry.queries()["site_alternatives"](spark, str(tmp_path)).toArrow())
