@@ -173,3 +173,9 @@ def test_resolution_by_profiles_equals_resolution_by_mentions(spark, overlapping
     monkeypatch.setattr(profiles, "MOST_FORMS", 0)
     assert fast and fast == rows(entry.queries()["resolve_mentions"](spark, str(tmp_path)).toArrow())
     assert readings == rows(entry.queries()["site_alternatives"](spark, str(tmp_path)).toArrow())
+
+
+def test_tf_idf_reads_texts_once_and_counts_texts_of_one_id_and_size_as_one(spark, sf, equal):
+    assert "split(" not in entry.queries()["tfidf_top100"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    texts = [" ".join(f"w{(i * k + i) % (7 + k % 3)}" for i in range(100 + k % 2)) for k in range(8)]
+    equal("tfidf_top100", documents={"doc_id": [1, 1, 2, 2, 3, 4, None, None, 5, 6], "text": [*texts, "short", None]})
