@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import random
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -190,18 +191,36 @@ def community_graph(edges: DataFrame, partition: DataFrame) -> DataFrame:
 
 
 def closure(starts: DataFrame, edges: DataFrame, most: int = 50, banned: DataFrame | None = None) -> DataFrame:
-    """(start, node, hops): everything that can be reached from each start within ``most`` steps, by frontier rounds; banned nodes end a path."""
+    """(start, node, hops): everything that can be reached from each start within ``most`` steps, by frontier rounds; banned nodes end a path.
+
+    What was reached before is taken off at hops that are twice as far apart each time
+    while nothing is reached twice, so a tree's rows meet a few times and not in each
+    round; once something is, it is taken off after every hop. Where no node has several
+    steps, a round has no rows to make distinct.
+    """
     step = edges.select("a", "b").distinct()
     if banned is not None:
         step = step.join(banned.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b")
     step = written(step, "closure-edges")
+    single = step.groupBy("a").count().where("count > 1").isEmpty()
     seen = front = written(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops")).distinct(), "closure")
+    fresh: list[DataFrame] = []  # fronts since the last check
+    wait = 1
     for hop in range(1, most + 1):
-        new = front.select("start", F.col("node").alias("a")).join(step, "a").select("start", F.col("b").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        front = written(new.withColumn("hops", F.lit(hop)), "closure")
-        if front.isEmpty():
+        new = front.select("start", F.col("node").alias("a")).join(step, "a").select("start", F.col("b").alias("node"))
+        front = written((new if single else new.distinct()).withColumn("hops", F.lit(hop)), "closure")
+        over = front.isEmpty()
+        if not over:
+            fresh.append(front)
+        if fresh and (over or hop == most or len(fresh) >= wait):
+            found = reduce(DataFrame.unionByName, fresh)
+            first = found if len(fresh) == 1 else found.groupBy("start", "node").agg(F.min("hops").alias("hops"))
+            first = written(first.join(seen.select("start", "node"), ["start", "node"], "left_anti"), "closure")
+            wait = 2 * wait if first.count() == found.count() else 1
+            seen, front, fresh = seen.unionByName(first), first.where(F.col("hops") == hop), []
+            over = over or front.isEmpty()
+        if over:
             break
-        seen = seen.unionByName(front)
     return seen
 
 

@@ -179,3 +179,30 @@ def test_tf_idf_reads_texts_once_and_counts_texts_of_one_id_and_size_as_one(spar
     assert "split(" not in entry.queries()["tfidf_top100"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     texts = [" ".join(f"w{(i * k + i) % (7 + k % 3)}" for i in range(100 + k % 2)) for k in range(8)]
     equal("tfidf_top100", documents={"doc_id": [1, 1, 2, 2, 3, 4, None, None, 5, 6], "text": [*texts, "short", None]})
+
+
+@pytest.mark.parametrize("graph", ["tree", "chain", "cycles", "diamonds"])
+def test_closure_equals_search_and_rarely_meets_what_was_reached(graph, spark, monkeypatch):
+    from mentionary.operators import graphs
+
+    rng = random.Random(3)
+    edges = {"tree": [(i, i // 2) for i in range(2, 80)], "chain": [(i, i + 1) for i in range(22)], "cycles": [(i, (i * 3 + 1) % 12) for i in range(12)] + [(0, 5), (5, 0)], "diamonds": [(rng.randrange(14), rng.randrange(14)) for _ in range(24)]}[graph]
+    plans, write = [], graphs.written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(graphs, "written", written)
+    nodes = sorted({x for e in edges for x in e})
+    got = graphs.closure(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(edges, "a long, b long"), 20)
+    want = set()
+    for n in nodes:
+        far, front = {n: 0}, [n]
+        for hop in range(1, 21):
+            front = sorted({b for a, b in edges if a in set(front)} - far.keys())
+            far |= dict.fromkeys(front, hop)
+        want |= {(n, m, h) for m, h in far.items()}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    if graph in ("tree", "chain"):
+        assert sum("LeftAnti" in p for p in plans) <= 5
