@@ -16,7 +16,9 @@ def read_edges(spark: SparkSession, path: str, weighted: bool = False) -> DataFr
 
 
 def with_reverse(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b", "weight").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    """Every edge and its reverse, unless it is a loop; the edges are read once."""
+    there, back = F.struct("a", "b", "weight"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "weight")
+    return edges.select(F.inline(F.when(F.col("a") != F.col("b"), F.array(there, back)).otherwise(F.array(there))))
 
 
 def clean_edges(edges: DataFrame, weighted: bool = True) -> DataFrame:

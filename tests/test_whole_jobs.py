@@ -206,3 +206,11 @@ def test_closure_equals_search_and_rarely_meets_what_was_reached(graph, spark, m
     assert sorted(map(tuple, got.collect())) == sorted(want)
     if graph in ("tree", "chain"):
         assert sum("LeftAnti" in p for p in plans) <= 5
+
+
+def test_parts_together_are_spread_by_lines(spark, sf, equal, monkeypatch):
+    from mentionary.plans import knowledge
+
+    monkeypatch.setattr(knowledge, "LINES", 500)
+    assert knowledge.parts_together(spark, sf).rdd.getNumPartitions() >= 12
+    equal("edge_clean")
